@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.session import with_package
+
 #: Arrow batches sent to Python hold at most this many bytes (and Spark's own row limit).
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -17,6 +19,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     The folder named in ``spark.checkpoint.dir`` is used when the session has one;
     a temporary folder is set only where the setting is absent (as in tests).
     """
+    with_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -76,3 +79,15 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def utf8_parts(array):
+    """The bytes and row offsets of an Arrow string or binary array without nulls, as numpy arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]

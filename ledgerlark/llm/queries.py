@@ -21,5 +21,32 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
-QUERIES = {"op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+def op4_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .slots import shard
+
+    return shard(_read(spark, sf_dir, "documents"), 24)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+_OP2_SQL = """
+with t as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
+)
+select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
+       doc_id = max(doc_id) over (partition by x) as kept, sha256(x) as text_sha256
+from t
+"""
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_slots, op6_mixing, op8_token_counts)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
