@@ -39,6 +39,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_scan
+
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 _OP2_SQL = """
 with t as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
@@ -48,5 +60,5 @@ select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (part
 from t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_slots, op6_mixing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
