@@ -45,6 +45,12 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -60,5 +66,5 @@ select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (part
 from t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op9_html_text, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
