@@ -142,7 +142,7 @@ LABELLED_PAGES = [
     _page("", [(0, "<div><a href=a>Start</a></div>"), (0, "<div>12 May</div>"), (1, f"<div><h1>The bridge that never was built</h1><p>{_LONG}</p><p>{_LONG}</p></div>"), (0, "<div><a href=b>Next</a></div>"), (0, "<div>Contact</div>")]),
     _page("", [(0, f"<div>Log in</div>"), (0, f"<section class=promo><p>{_LONG}</p></section>"), (1, f"<article><p>{_LONG}</p><ul><li>one reason</li><li>another reason</li></ul><p>{_MID}</p></article>"), (0, f"<article class=comment><p>{_LONG}</p></article>"), (0, "<p>Loading</p>")]),
     _page("", [(1, f"<article><h1>No frame</h1><p>{_MID}</p><p>Alone.</p></article>")]),
-    _page("", [(1, f"<p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p>")]),
+    _page("", [(1, f"<div><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p></div>")]),
     _page("", [(0, "<div>Menu</div>"), (1, f"<main><p>Only this.</p></main>")]),
     _page("", [(0, "<div><a href=a>Start</a></div>"), (1, f"<div><p>{_MID}</p><p>{_LONG}</p><p>{_MID}</p></div>")]),
     _page("", [(1, f"<article><p>{_LONG}</p><p>So be it.</p></article>"), (0, "<div><a href=b>Back to the start of the page</a></div>"), (0, "<div>Imprint</div>")]),
