@@ -21,6 +21,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -66,5 +73,5 @@ select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (part
 from t
 """
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op9_html_text, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op9_html_text, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
