@@ -58,6 +58,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op7_pq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq_dedup import embedding_dedup
+
+    return embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -73,5 +79,5 @@ select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (part
 from t
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op8_token_counts, op9_html_text, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op7_pq_embeddings, op8_token_counts, op9_html_text, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
