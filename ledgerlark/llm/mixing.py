@@ -128,7 +128,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents of the mix, with the columns of ``df``: each full round of a source gives its documents whole, the partial round the words of its taken blocks."""
     rest = tuple(c for c in df.columns if c not in (id_col, source_col))
     rows = _laid_out(df, id_col, text_col, source_col, n_cells, seed, rest)
-    words = rf"regexp_extract_all(_{text_col}, '{WORD}[\\x20\\x09-\\x0D]*', 0)"
+    pattern = (WORD + r"[\x20\x09-\x0D]*").replace("\\", "\\\\")
+    words = f"regexp_extract_all(_{text_col}, '{pattern}', 0)"
     whole = f"forall(sequence(start div block, (start + size - 1) div block), k -> {_TAKES})"
     some = f"exists(sequence(start div block, (start + size - 1) div block), k -> {_TAKES})"
     picked = f"array_join(filter({words}, (x, i) -> {_TAKES.replace('k *', '((start + i) div block) *')}), '')"

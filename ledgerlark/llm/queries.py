@@ -40,6 +40,12 @@ def op4_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), 24)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -79,5 +85,5 @@ select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (part
 from t
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_hilbert_packing, op4_slots, op6_mixing, op7_pq_embeddings, op8_token_counts, op9_html_text, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_hilbert_packing, op4_slots, op5_minhash, op6_mixing, op7_pq_embeddings, op8_token_counts, op9_html_text, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
