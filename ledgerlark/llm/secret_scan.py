@@ -79,7 +79,7 @@ def log_ratio(token: str, ratios: list[list[float]]) -> float:
     return sum(ratios[a][b] for a, b in zip([_N, *at], at)) / len(at)
 
 
-def find_secrets(text: str, ratios: list[list[float]], least: float = 0.2) -> list[tuple[int, int, str]]:
+def find_secrets(text: str, ratios: list[list[float]], least: float = -0.3) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each span, by start and then kind, in code points."""
     found = [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if ":" in text or "=" in text else []
     runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
@@ -95,7 +95,7 @@ def find_secrets(text: str, ratios: list[list[float]], least: float = 0.2) -> li
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.2, labelled: Sequence[tuple[str, int]] = ()) -> DataFrame:
+def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = -0.3, labelled: Sequence[tuple[str, int]] = ()) -> DataFrame:
     """Secrets in every whole text.
 
     Three patterns (assignments, access keys, long hex runs) give the base spans. The

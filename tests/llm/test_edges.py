@@ -1,0 +1,132 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import exact_dedup, html_text, minhash, mixing, packing, pq_dedup, quality, secret_scan, slots
+from ledgerlark.llm.queries import tokenizer_path
+
+LONG = "one two three four five six seven eight nine ten " * 3000
+ROWS = [
+    (1, None, "a", 0), (2, "", None, 1), (3, "Same text here", "a", 2), (4, "same TEXT here", "b", 3), (4, "same TEXT here", "b", 3),
+    (None, "no id", "a", 4), (None, "no id", "a", 4), (5, LONG, "c", 5), (6, "!!! ??", "c", 6), (7, "  ", "c", 7), (8, "Ä ö é 日本 😀", "c", 8),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string, n int")
+    for c in ("id", "size", "key", "keep_id", "kept", "shard", "score", "h", "cell", "src", "band", "start", "x", "y", "recipe", "block", "part"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df.cache()
+
+
+def test_exact(spark, docs):
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == len(ROWS)
+    by = {(r.doc_id, r.text_sha256): r for r in got}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.doc_id in (1, 2)} == {(1, 2, 2, False), (2, 2, 2, True)}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.doc_id in (3, 4)} == {(3, 4, 3, False), (4, 4, 3, True)}
+    assert all(r.keep_id is None and r.group_size == 2 and r.kept for r in got if r.doc_id is None) and len(by) == 9
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    # digests too short to tell chunks apart are lengthened until they are verified
+    short = exact_dedup.exact_dedup(docs, digest_bytes=1).collect()
+    assert sorted(map(tuple, short), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_chunks_follow_content():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    body = rng.integers(97, 123, 40_000).astype(np.uint8)
+    a = np.concatenate([body, body[:100]])
+    data = np.concatenate([a, np.frombuffer(b"some words before", np.uint8), a])
+    first, second = exact_dedup.chunk_ends(data, np.array([0, len(a), len(data)]))
+    chunks = [set(data[s:e].tobytes() for s, e in zip([at, *ends], ends)) for at, ends in ((0, first), (len(a), second))]
+    assert first[-1] == len(a) and second[-1] == len(data)
+    assert len(chunks[0] & chunks[1]) >= len(chunks[0]) - 2
+
+
+def test_slots(spark, docs, tmp_path):
+    got = slots.shard(docs, 3, n_slots=64).collect()
+    assert len(got) == len(ROWS) and {r.law for r in got} == {"bytes"}
+    for k in range(3):
+        at = sorted(r.slot for r in got if r.shard == k)
+        assert at == list(range(len(at)))
+    assert {r.size for r in got if r.doc_id in (1, 2)} == {8} and {r.text_crc32 for r in got if r.doc_id in (1, 2)} == {0}
+    assert slots.shard(docs.limit(0), 3).count() == 0
+    even = [10 + i % 3 for i in range(120)]
+    m = slots.balanced_map(even, 2)
+    m.save(spark, str(tmp_path / "map"))
+    grown = m.rebalanced(even, 3)
+    grown.save(spark, str(tmp_path / "map"))
+    assert slots.SlotMap.load(spark, str(tmp_path / "map")) == grown and slots.SlotMap.load(spark, str(tmp_path / "map"), 1) == m
+    assert all(b in (a, 2) for a, b in zip(m.shards, grown.shards)) and grown.version == 2
+    loads = [sum(w for w, k in zip(even, grown.shards) if k == s) for s in range(3)]
+    assert max(loads) - min(loads) < 25
+    less = grown.rebalanced(even, 2)
+    assert set(less.shards) == {0, 1} and all(b == a for a, b in zip(grown.shards, less.shards) if a < 2)
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix(docs, n_cells=4).collect()
+    assert len(got) == len(ROWS)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    assert {r.source for r in got} == {None, "a", "b", "c"} and all(r.target == 0 for r in got if r.source is None)
+    assert mixing.mix(docs.limit(0)).count() == 0
+    made = mixing.mixed_documents(docs, n_cells=4)
+    assert made.columns == docs.columns
+    words = made.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert words == sum(r.taken for r in got)
+    assert mixing.mix(docs.limit(0).withColumn("text", F.lit(None).cast("string"))).count() == 0
+    none = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")).collect()
+    assert [(r.taken, r.target) for r in none] == [(0, 0), (0, 0)]
+
+
+def test_packing(spark, docs):
+    got = packing.pack(docs, tokenizer_path()).collect()
+    assert {(r.doc_id, r.length, r.doc_tokens) for r in got if r.doc_id in (1, 2)} == {(1, 1, 1), (2, 1, 1)}
+    assert sum(r.length for r in got if r.doc_id == 5) == next(r.doc_tokens for r in got if r.doc_id == 5) > 20_000
+    assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_minhash(spark, docs):
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS)
+    classes = {(r.doc_id, r.class_id, r.kept) for r in got}
+    assert {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (None, None, None)} == classes
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_quality(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, waves=8)
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert not any(r.held_out for r in got if r.doc_id is None)
+    assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.score(docs, None).collect()} == {0.5}
+    assert quality.keep_good(docs, model).columns == docs.columns
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_secrets(spark, docs):
+    got = secret_scan.secret_scan(docs).collect()
+    assert len(got) == len(ROWS) and not any(r.spans for r in got)
+    assert secret_scan.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_html(spark):
+    df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, ""), (2, "v", "no tags at all but quite some words in here"), (3, "w", "<p>" * 2000 + "x" + "<!-- open"), (4, "z", "<article><p>a &amp; b\n c<br>d</p><ul><li>e</li></ul></article><script>var t='</p>'")], "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract_text(df).collect()}
+    assert got[1, "u"] == ("", 0) and got[None, None] == ("", 0) and got[4, "z"] == ("a & b c d\ne", 11)
+    assert html_text.extract_text(df).count() == 6 and html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    a, b = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0]
+    rows = [(1, a), (1, a), (2, b), (None, a), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, 0.0]), (9, [float("inf"), 0.0, 0.0]), (10, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.05])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in pq_dedup.embedding_dedup(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, None), *((i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)), (10, 1, 10, True), (None, 1, 10, None)], key=str)
+    assert pq_dedup.embedding_dedup(df.limit(0)).count() == 0
+    assert pq_dedup.embedding_dedup(df.where("vec_id = 5")).count() == 1
