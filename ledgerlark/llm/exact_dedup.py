@@ -114,7 +114,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             raise ValueError("different chunks share a SHA-256 digest")
         digest_bytes *= 2
     lists = cut(recipes(df, id_col, text_col, digest_bytes))
-    groups = lists.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written out, so that both sides of the join are plain exchanges and Spark can split a large group's rows
+    groups = cut(lists.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
     return lists.join(groups, "recipe").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

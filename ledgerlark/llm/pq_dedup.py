@@ -75,7 +75,7 @@ def _unit(vectors, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_index(sample: np.ndarray, per_list: int, n: int, threshold: float, subspaces: int, z: float = 3.5, seed: int = 9, most_lists: int = 4096) -> PqIndex:
+def fit_index(sample: np.ndarray, per_list: int, n: int, threshold: float, subspaces: int, z: float = 3.0, seed: int = 9, most_lists: int = 4096) -> PqIndex:
     """Train on unit vectors. ``n``: vectors to index, of which about ``per_list`` go into a list.
 
     A vector at the threshold's angle from a query, in a random direction, sees the gap
@@ -98,7 +98,7 @@ def _filled(book: np.ndarray) -> np.ndarray:
     return np.concatenate([book, np.repeat(book[:1], 256 - len(book), 0)]) if len(book) < 256 else book
 
 
-def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, per_list: int = 1000, block: int = 2000, sample_rows: int = 20_000, subspaces: int = 16) -> DataFrame:
+def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, per_list: int = 256, block: int = 2000, sample_rows: int = 20_000, subspaces: int = 16) -> DataFrame:
     """Links between vectors of cosine ``threshold`` or more, and their connected components.
 
     Equal vectors are one entry with a count. Entries go into inverted lists by their

@@ -82,7 +82,7 @@ def test_slots(spark, docs):
 
 def test_near_duplicates(spark, docs):
     got = queries.op5_minhash(spark, D).toPandas().set_index("doc_id")
-    words = shingles.word_hashes(pa.array(docs.text.fillna("").tolist()))
+    words = list(shingles.word_hashes(pa.array(docs.text.fillna("").tolist())))
     for x, w in zip(docs.text, words):
         assert len(w) == len(re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", x.lower()))
     df, n = np.zeros(1 << minhash.BUCKET_BITS, int), 0
