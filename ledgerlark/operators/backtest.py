@@ -132,7 +132,7 @@ def rolling_correlations(returns: DataFrame, n: int = 60, z: float = 2.0) -> Dat
     a = returns.select("d", F.col("symbol").alias("a"), F.col("ret").alias("x"))
     b = returns.select("d", F.col("symbol").alias("b"), F.col("ret").alias("y"))
     w = Window.partitionBy("a", "b").orderBy("d").rowsBetween(-(n - 1), 0)
-    x = a.join(b, "d").where("a < b").withColumn("k", F.count("*").over(w)).withColumn("c", F.corr("x", "y").over(w)).where(F.col("k") == n).withColumn("c", F.round("c", 9))
+    x = a.join(b, "d").where("a < b").withColumn("k", F.count("*").over(w)).withColumn("c", F.covar_pop("x", "y").over(w) / F.nullif(F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w), F.lit(0.0))).where(F.col("k") == n).withColumn("c", F.round("c", 9))
     every = Window.partitionBy("a", "b")
     x = x.withColumn("z", (F.col("c") - F.avg("c").over(every)) / F.nullif(F.stddev_pop("c").over(every), F.lit(0.0)))
     return x.where(F.abs("z") > z).groupBy("a", "b").agg(F.count("*").alias("odd_days"), F.max(F.abs("z")).alias("max_z"))
