@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of frames that nothing refers to any more: its cleaner goes by the JVM's collections, which a small heap's rounds of work may not cause for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -54,6 +61,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    release(edges.sparkSession)
     seen = None
     for _ in range(rounds):
         # large-star: every larger neighbour of u is linked to the least of u and its neighbours
@@ -75,6 +83,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+        release(edges.sparkSession)
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
