@@ -20,7 +20,7 @@ _BLOCK = set(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6
     head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
-_SILENT = "script style noscript template svg math iframe object textarea select button canvas audio video head title option".split()
+_SILENT = "script style noscript noframes template svg math iframe object textarea select button canvas audio video title".split()
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _ASIDE = set("nav footer aside form menu dialog".split())
 _MAIN = set("article main".split())
@@ -29,9 +29,13 @@ _ASIDE_WORD = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|side|sidebar\w*|widgets?|related|recommend\w*|newsletter|subscri\w*|sign-?up|log-?in|menus?|nav\w*|breadcrumbs?|foot|footer\w*|masthead|topbar|toolbar|pag(?:er|ination)|copyright|legal|contentinfo|complementary|search|hidden)(?![a-z])"
 )
 _MAIN_WORD = re.compile(r"(?<![a-z])(?:article\w*|main|post|entry|story|content|body-?text)(?![a-z])")
+# The end tags of head and option may be left out. What a head may hold is silent or void, so it needs no end; an option ends
+# at its end tag, else before the next option or group, or where a block ends. An svg or math that closes itself is empty.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(%s)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)"
-    % "|".join(_SILENT),
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(%s)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<option(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</option\s*>|(?=</?(?:option|optgroup|select|datalist)[\s/>]|</(?:%s)[\s>])|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)"
+    % ("|".join(_SILENT), "|".join(sorted(_BLOCK))),
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|data-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -91,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-        elif name not in _VOID and not m[4].endswith("/"):
+        elif name not in _VOID and name != "head" and not m[4].endswith("/"):
             _, aside, main, label = stack[-1]
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[4])}
             marks = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-")
@@ -202,8 +206,8 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     count, a link density, those of the blocks beside it, and flags of the elements that
     it stands in; a decision tree grown on a small labelled table of pages tells the
     article from menus, headers, footers, sidebars, notices, adverts, forms and comments.
-    Scripts, styles, comments and the page's head are never text. Character references
-    are decoded, white space in a block is one space, blocks are joined by line feeds.
+    Scripts, styles, comments and what a page's head may hold are never text; a head without
+    its end tag ends at the first element or text that may not stand in it. Character references are decoded, white space in a block is one space, blocks are joined by line feeds.
 
     Returns ``id_col``, ``url_col``, ``text`` (empty if none), ``n_chars`` (code points).
     Null and empty pages give an empty text. Null ids or urls and repeated rows are kept.
