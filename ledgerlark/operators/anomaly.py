@@ -45,7 +45,7 @@ def _average_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, share: float = 0.05, key: str = "symbol", seed: int = 42) -> DataFrame:
+def isolation_forest(df: DataFrame, columns: list[str], trees: int = 200, sample: int = 256, share: float = 0.05, key: str = "symbol", seed: int = 42) -> DataFrame:
     """Score of each row of a key's history (near 1: easily isolated), and whether it is among the top ``share``. A group is one key's rows."""
     with_package(df.sparkSession)
 

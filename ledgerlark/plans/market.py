@@ -213,10 +213,22 @@ def w34_z_normalise(spark, d):
  w as (select symbol, d, i, list(c) over (partition by symbol order by d rows between 7 preceding and current row) as past, list(c) over (partition by symbol order by d rows between 1 following and 2 following) as next from k)
 select symbol, d, round(list_sum(past), 3) as past, round(list_sum(next), 3) as next from w where len(past) = 8 and len(next) = 2 and i % 4 = 0""")
 def w32_training_windows(spark, d):
+    return _training_windows(spark, d, 8, 2)
+
+
+@query(f"""with {X.BARS}, k as (select symbol, d, "close" as c, row_number() over {W} as i from bars),
+ w as (select symbol, d, i, list(c) over (partition by symbol order by d rows between 95 preceding and current row) as past, list(c) over (partition by symbol order by d rows between 1 following and 24 following) as next from k)
+select symbol, d, round(list_sum(past), 3) as past, round(list_sum(next), 3) as next from w where len(past) = 96 and len(next) = 24 and i % 4 = 0""")
+def w32_training_windows_96_24(spark, d):
+    return _training_windows(spark, d, 96, 24)
+
+
+def _training_windows(spark, d, context, horizon):
+    """Sums of each window of ``context`` rows and of the ``horizon`` rows after it, at every fourth row; full windows only."""
     w = I.by_symbol()
-    x = X.bars(spark, d).withColumn("i", F.row_number().over(w)).withColumn("past", F.collect_list("close").over(w.rowsBetween(-7, 0))).withColumn("next", F.collect_list("close").over(w.rowsBetween(1, 2)))
+    x = X.bars(spark, d).withColumn("i", F.row_number().over(w)).withColumn("past", F.collect_list("close").over(w.rowsBetween(1 - context, 0))).withColumn("next", F.collect_list("close").over(w.rowsBetween(1, horizon)))
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 3)
-    return x.where("size(past) = 8 and size(next) = 2 and i % 4 = 0").select("symbol", "d", total("past").alias("past"), total("next").alias("next"))
+    return x.where(f"size(past) = {context} and size(next) = {horizon} and i % 4 = 0").select("symbol", "d", total("past").alias("past"), total("next").alias("next"))
 
 
 @query(f"""with {X.BARS}, k as (select symbol, "close" as c, 20 - row_number() over (partition by symbol order by d desc) as t from bars qualify t >= 0),

@@ -225,7 +225,7 @@ def f14_monte_carlo(spark, d):
     from ledgerlark.operators.models import monte_carlo
 
     m = X.portfolio_returns(spark, d).groupBy("portfolio").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sigma"))
-    return monte_carlo(m, paths=500, days=60)
+    return monte_carlo(m)
 
 
 @query()
