@@ -60,6 +60,23 @@ def f15_correlation_pairs(spark, d):
     return T.correlation_pairs(X.returns(spark, d).where("symbol < 'Brand#3'")).select("a", "b", "days", F.round("corr", 6).alias("corr"))
 
 
+_ALL_PAIRS = f"with {X.RETURNS}, j as (select a.symbol as a, b.symbol as b, a.d, a.ret as x, b.ret as y from returns a join returns b on a.d = b.d and a.symbol < b.symbol)"
+
+
+@query(_ALL_PAIRS + """, w as (select a, b, d, count(*) over x as k, round(corr(x, y) over x, 9) as c from j window x as (partition by a, b order by d rows between 59 preceding and current row)),
+ z as (select a, b, (c - avg(c) over (partition by a, b)) / nullif(stddev_pop(c) over (partition by a, b), 0) as z from w where k = 60)
+select a, b, count(*) as odd_days, round(max(abs(z)), 4) as max_z from z where abs(z) > 2 group by 1, 2""")
+def w28_rolling_correlations_all(spark, d):
+    """Every pair of symbols; ``w28_rolling_correlations`` has those below 'Brand#3'."""
+    return T.rolling_correlations(X.returns(spark, d)).select("a", "b", "odd_days", F.round("max_z", 4).alias("max_z"))
+
+
+@query(_ALL_PAIRS + " select a, b, count(*) as days, round(corr(x, y), 6) as corr from j group by 1, 2 having count(*) >= 30")
+def f15_correlation_pairs_all(spark, d):
+    """Every pair of symbols; ``f15_correlation_pairs`` has those below 'Brand#3'."""
+    return T.correlation_pairs(X.returns(spark, d)).select("a", "b", "days", F.round("corr", 6).alias("corr"))
+
+
 for _unit, _name in (("MM", "month"), ("YY", "year")):
 
     @query(f"with {P} select portfolio, cast(date_trunc('{_name}', d) as date) as period, round(product(1 + ret) - 1, 6) as ret from pret group by 1, 2", f"a06_compounded_{_name}")
