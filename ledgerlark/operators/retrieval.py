@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.session import with_package
+
 
 def last_of_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The last ``n`` rows of each group. Spark limits each task's rows of a group before the shuffle."""
@@ -27,3 +31,38 @@ def cosine_top_k(df: DataFrame, id_col: str, vector_col: str, asked: Sequence[fl
     dot = total(F.zip_with(v, q, lambda a, b: a * b))
     norm = F.sqrt(total(F.transform(v, lambda a: a * a))) * F.lit(sum(float(x) ** 2 for x in asked) ** 0.5)
     return df.select(id_col, (dot / norm).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
+
+
+def cosine_search(asked: DataFrame, df: DataFrame, id_col: str, vector_col: str, k: int, block: int = 1000) -> DataFrame:
+    """For each row of ``asked`` the ``k`` other rows of ``df`` of greatest cosine similarity (to 9 digits), ties by id.
+
+    Both sides are dealt into blocks of about ``block`` vectors; each pair of blocks gives
+    its own best k a query, and these are ranked once more. Vectors that are null or of
+    length zero have no similarity and are left out. Returns ``query_id``, ``id_col``, ``similarity``.
+    """
+    with_package(df.sparkSession)
+
+    def blocks(x: DataFrame, ids: str, vectors: str) -> DataFrame:
+        x = x.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        n = max(1, -(-x.count() // block))
+        return x.groupBy(F.pmod(F.xxhash64("id"), F.lit(n))).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(F.col("rows.id").alias(ids), F.col("rows.v").alias(vectors))
+
+    def unit(vectors) -> np.ndarray:
+        x = np.array(vectors, float)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, ids = np.array(row["query_ids"]), np.array(row["ids"])
+                sims = np.round(unit(row["query_vectors"]) @ unit(row["vectors"]).T, 9)
+                for i, s in zip(q, sims):
+                    at = np.flatnonzero(~np.isnan(s) & (ids != i))
+                    at = at[np.lexsort((ids[at], -s[at]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(ids[at]), pa.array(s[at])], ["query_id", "id", "similarity"])
+
+    pairs = blocks(asked, "query_ids", "query_vectors").crossJoin(blocks(df, "ids", "vectors"))
+    found = pairs.mapInArrow(best, "query_id long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("_k", rank).where(F.col("_k") <= k).select("query_id", F.col("id").alias(id_col), "similarity")

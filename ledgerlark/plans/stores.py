@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlark.operators.retrieval import best_by_prefix, cosine_top_k, last_of_group
+from ledgerlark.operators.retrieval import best_by_prefix, cosine_search, cosine_top_k, last_of_group
 from ledgerlark.plans import fixtures as X
 from ledgerlark.plans.registry import query
 from ledgerlark.streaming.rollup import hourly_rollup, run_to_end
@@ -94,6 +94,15 @@ def o01_vector_top_k(spark, d):
     return cosine_top_k(e.where("vec_id != 0"), "vec_id", "embedding", asked, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+ s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 9) as c from e q, e where q.vec_id % 100 = 0 and e.vec_id <> q.vec_id)
+ select query_id, vec_id, round(c, 6) as similarity from s qualify row_number() over (partition by query_id order by c desc, vec_id) <= 10""")
+def o01_vector_search(spark, d):
+    """Every row whose id is divisible by 100 against all rows; ``o01_vector_top_k`` asks for one."""
+    e = X.table(spark, d, "embeddings")
+    return cosine_search(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2
  having hour + interval 1 hour <= (select max(ts) - interval 1 hour from events)""")
 def x01_hourly_rollup(spark, d):
