@@ -177,6 +177,17 @@ def o06_strategy_ranking(spark, d):
     return u.select("portfolio", "metric", F.rank().over(Window.partitionBy("metric").orderBy(F.desc("v"))).cast("bigint").alias("rank"))
 
 
+@query(_EQ + """, g as (select portfolio, avg(ret) * 252 as annual_return, stddev_samp(ret) * sqrt(252) as volatility, stddev_samp(ret) filter (ret < 0) * sqrt(252) as down, min(dd) as max_drawdown from q group by 1),
+ m as (select *, annual_return / nullif(volatility, 0) as sharpe, annual_return / nullif(down, 0) as sortino, annual_return / nullif(abs(max_drawdown), 0) as calmar from g),
+ u as (select portfolio, unnest(['sharpe', 'annual_return', 'volatility', 'max_drawdown', 'sortino', 'calmar']) as metric, unnest([sharpe, annual_return, -volatility, max_drawdown, sortino, calmar]) as v from m)
+select portfolio, metric, rank() over (partition by metric order by v desc nulls last) as rank from u""")
+def o06_strategy_ranking_all(spark, d):
+    """All six metrics, without a risk-free rate; lower is better for volatility only, as drawdowns are negative. What has no value comes last."""
+    x = T.risk_bundle(X.portfolio_returns(spark, d), 0.0).withColumn("volatility", -F.col("volatility"))
+    u = x.unpivot("portfolio", ["sharpe", "annual_return", "volatility", "max_drawdown", "sortino", "calmar"], "metric", "v")
+    return u.select("portfolio", "metric", F.rank().over(Window.partitionBy("metric").orderBy(F.desc_nulls_last("v"))).cast("bigint").alias("rank"))
+
+
 # Market shocks in per cent of seven scenarios, and sector shocks of two of them.
 SCENARIOS = [
     ("2008 Global Financial Crisis", -35.0, None, None), ("2020 COVID Crash", -38.0, None, None), ("RBI Rate Hike (+200bps)", -10.0, None, None), ("Rupee Depreciation (-10%)", -5.0, None, None),
@@ -222,7 +233,7 @@ def f19_anomaly_iqr(spark, d):
 
 @query()
 def f20_isolation_forest(spark, d):
-    """Isolation-forest scores of a symbol's price features, flagged with z-scores and quartiles. Rows only: trees are seeded draws."""
+    """Isolation-forest scores of a symbol's price features, the top share flagged. Rows only: trees are seeded draws."""
     from ledgerlark.operators.indicators import price_features
 
     return N.isolation_forest(price_features(X.bars(spark, d)), ["ret_1", "ret_5", "vol_5", "range_z", "gap"])
