@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import connected_components, cut, prepare, text_or_empty
+from ._common import Scratch, connected_components, cut, prepare, text_or_empty
 from .shingles import fingerprint, mix, shingle_hashes, word_hashes
 
 #: Document frequencies are counted in this many hashed buckets, as hashing vectorisers do.
@@ -17,8 +19,6 @@ BUCKET_BITS = 18
 _PART = 1 << 13
 #: Tables of the sampling's random variates have this many entries.
 _VARIATES = 1 << 16
-#: Keys of rows without an id start here, above any real id.
-_NAMELESS = 1 << 62
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -28,8 +28,8 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     """Documents that hold each bucket's shingles, and documents that have any. All documents count.
 
-    Each partition sends one array of fixed size, in parts; the parts are summed by a few
-    tasks, one array at a time, and the sum, of that same size, reaches the driver.
+    Each partition sends one array of fixed size, in parts. The parts are summed in two levels, each by about the root
+    of as many tasks a part, one array at a time; the sum, of that same size, reaches the driver.
     """
     n_parts = (1 << BUCKET_BITS) // _PART
 
@@ -40,19 +40,24 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
                 if len(words):
                     df[np.unique(bucket_of(shingle_hashes(words, width)))] += 1
                     n += 1
-        parts = [df[i * _PART : (i + 1) * _PART].astype("<i4").tobytes() for i in range(n_parts)] + [np.array([n], "<i4").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts + 1), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+        parts = [df[i * _PART : (i + 1) * _PART].tobytes() for i in range(n_parts)] + [np.array([n]).tobytes()]
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(n_parts + 1), pa.int32()), pa.array([at] * (n_parts + 1), pa.int32()), pa.array(parts, pa.binary())], ["part", "of", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(raw.as_py(), "<i4").astype(np.int64)
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
+                x = np.frombuffer(raw.as_py(), np.int64)
                 total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(8, "part").mapInArrow(add, schema).collect()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "of", "counts"])
+
+    schema = "part int, of int, counts binary"
+    one = docs.select("text").mapInArrow(count, schema)
+    groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
+    if groups > 8:
+        one = one.withColumn("of", F.pmod("of", F.lit(groups))).repartition(groups, "of").mapInArrow(add, schema)
+    rows = one.repartition(8, "part").mapInArrow(add, schema).collect()
     parts = {r.part: np.frombuffer(r.counts, np.int64) for r in rows}
     if not parts:
         return np.zeros(1 << BUCKET_BITS, np.int64), 0
@@ -60,8 +65,15 @@ def document_frequencies(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 
 def idf_weights(df: np.ndarray, n: int, strength: float) -> np.ndarray:
-    """Weight of each bucket's shingles: from 1, in every document, to 1 + ``strength``, in one."""
-    return (1 + strength * np.log((n + 1) / (np.minimum(df, n) + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
+    """Weight of each bucket's shingles: from 1, in every document, to 1 + ``strength``, in the fewest that can be told.
+
+    A bucket counts the documents of its own shingles and, in a large table, many rare ones by chance; the median bucket
+    tells how many. That is subtracted; what is within four standard deviations of it can't be told from a rare shingle.
+    """
+    by_chance = float(np.median(df)) if len(df) else 0.0
+    least = min(1 + 4 * np.sqrt(by_chance), max(n, 1))
+    own = np.clip(df - by_chance, least, max(n, least))
+    return (1 + strength * np.log((n + 1) / (own + 1)) / max(np.log((n + 1) / (least + 1)), 1e-9)).clip(1, 1 + strength).astype(np.float32)
 
 
 class Sampler:
@@ -115,7 +127,10 @@ def band_keys(sketch: np.ndarray, bands: np.ndarray) -> np.ndarray:
 
 def elements(hashes: np.ndarray) -> np.ndarray:
     """A text's shingles as 32-bit numbers, one for each occurrence; the top bits stay those of the bucket."""
-    h, n = np.unique(hashes, return_counts=True)
+    return _elements(*np.unique(hashes, return_counts=True))
+
+
+def _elements(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     e = (h >> np.uint64(32)).astype(np.uint32)
     extra = [((e[n > k] & np.uint32(0xFFFFC000)) | ((e[n > k] * np.uint32(2654435761) + np.uint32(k * 7919)) & np.uint32(0x3FFF))) for k in range(1, int(n.max(initial=1)))]
     return np.unique(np.concatenate([e, *extra]))
@@ -130,8 +145,54 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
     return shared / union if union else 0.0
 
 
+def linked_blocks(strays: DataFrame, parts: DataFrame, sets: DataFrame, weights: Broadcast, threshold: float, block: int) -> DataFrame:
+    """Links (``a``, ``b``) of entries with components that they are not in: one for each block of the component's members that has a link.
+
+    ``strays``: ``key`` and the component (``main``) it is to be compared with. A component's members and its strays are both cut
+    into blocks of about ``block``; each pair of blocks is a group, so that no task holds more than two blocks, and rows grow as
+    members and strays, not as their product.
+    """
+    sizes = parts.groupBy("component").agg(F.count("*").alias("m")).withColumnRenamed("component", "main")
+    plan = strays.groupBy("main").agg(F.count("*").alias("s")).join(sizes, "main")
+    plan = plan.select("main", F.ceil(F.col("m") / block).alias("ms"), F.ceil(F.col("s") / block).alias("ss"))
+    deal = lambda k: F.pmod(F.xxhash64("key"), F.col(k))
+    members = parts.select(F.col("node").alias("key"), F.col("component").alias("main")).join(plan, "main")
+    members = members.select("key", "main", deal("ms").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("sb"), F.lit(True).alias("member"))
+    others = strays.join(plan, "main").select("key", "main", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), deal("ss").alias("sb"), F.lit(False).alias("member"))
+    work = members.unionByName(others).join(sets.hint("merge"), "key")
+
+    def compare(key, f: pd.DataFrame) -> pd.DataFrame:
+        w, shift = weights.value, np.uint32(32 - BUCKET_BITS)
+        f = f.sort_values("key")
+        ids, held = f["key"].to_numpy(), [np.frombuffer(e, np.uint32) for e in f["elements"]]
+        of, out = np.flatnonzero(f["member"].to_numpy()), []
+        if not len(of) or len(of) == len(f):
+            return pd.DataFrame({"a": [], "b": []})
+        every = np.concatenate([held[i] for i in of])
+        owner = np.repeat(np.arange(len(of)), [len(held[i]) for i in of])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        heavy = np.bincount(owner, w[every >> shift], len(of))
+        for i in np.setdiff1d(np.arange(len(f)), of):
+            e = held[i]
+            lo, hi = np.searchsorted(every, e, "left"), np.searchsorted(every, e, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], np.repeat(w[e >> shift].astype(np.float64), n), len(of))
+            sim = shared / (heavy + float(w[e >> shift].sum(dtype=np.float64)) - shared)
+            for j in np.argsort(-sim, kind="stable"):
+                if sim[j] < threshold - 1e-9:
+                    break
+                if weighted_jaccard(e, held[of[j]], w) >= threshold:
+                    out.append((ids[i], ids[of[j]]))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return work.groupBy("main", "mb", "sb").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, samples: int = 64, bands: int = 40, rows: int = 6, fine_samples: int = 256, fine_bands: int = 96, fine_rows: int = 10, crowded: int = 64, idf_strength: float = 0.5, open_pairs: float = 8.0
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, samples: int = 64, bands: int = 40, rows: int = 6, fine_samples: int = 384, fine_bands: int = 256, fine_rows: int = 14, crowded: int = 64, idf_strength: float = 0.5, open_pairs: float = 8.0, block: int = 512
 ) -> DataFrame:
     """Classes of documents connected by weighted Jaccard similarity of ``threshold`` or more over TF-IDF shingles.
 
@@ -139,78 +200,57 @@ def near_duplicates(
     shingles are ``width`` words (a shorter text is one shingle). A shingle's weight is its
     count in the text times an inverse document frequency, damped to 1 .. 1 + ``idf_strength``
     and counted over all documents in hashed buckets. Texts of one word sequence are one
-    entry. Entries meet in a bucket if all samples of one of ``bands`` bands agree. A band is
-    ``rows`` of the ``samples``, drawn at random: at similarity 0.8 all but about one pair in
-    a thousand meet, while texts that share no more than a passage seldom do.
+    entry, whatever their ids. Entries meet in a bucket if all samples of one of ``bands``
+    bands agree. A band is ``rows`` of the ``samples``, drawn at random: at similarity 0.8 all
+    but about one pair in a thousand meet, while texts that share no more than a passage seldom do.
 
     A bucket's centre is the entry that meets the most others, as the source of many copies
-    does. Each entry is first compared with the most famous of its buckets' centres. A bucket
-    that this leaves in several components goes on; if it holds over ``crowded`` entries (texts
-    that share a passage, say), they get ``fine_samples`` new samples, independent of the first,
-    and are dealt anew into ``fine_bands`` bands of ``fine_rows`` of these. Of pairs at similarity
-    0.8 these miss 0.06 %, the first bands 0.16 % (simulated), so a crowded bucket loses hardly
-    more than a small one, while texts that share only a passage seldom meet there. In what is
-    open then, every entry is compared with the bucket's centre, and what is not connected to it is then
-    compared with the bucket's other components, less the pairs that the triangle
-    inequality of the distance (1 - similarity) rules out; if those were more than
-    ``open_pairs`` times the bucket entries, further centres are taken first. So no link
-    between entries that met in these buckets is lost, and a group of n copies gives on the order of n pairs.
+    does. Each entry is first compared with the centres of all its buckets; links make components.
+    Entries of a bucket outside its centre's component are then compared with that whole component,
+    in blocks of ``block`` entries that are joined by sets of shingles and not by pairs (see
+    :func:`linked_blocks`). What this leaves of a bucket in several components goes on; if that is over
+    ``crowded`` entries (texts that share a passage, say), they get ``fine_samples`` new samples,
+    independent of the first, and are dealt anew into ``fine_bands`` bands of ``fine_rows`` of these. Of
+    pairs at similarity 0.8 these miss 0.05 %, the first bands 0.08 % (computed), so a crowded bucket
+    loses hardly more than a small one, while texts that share only a passage seldom meet there. In what is
+    open then, the pairs of entries in different components are compared; if those were more than
+    ``open_pairs`` times the bucket entries, 1, 2, 4, ... further centres of each bucket are compared with
+    it first, which leaves fewer components. So no link between entries that met in these buckets is lost,
+    and a group of n copies gives on the order of n pairs.
+
+    Texts are read twice: for the document frequencies, and for an entry's bands and its set of
+    shingles, which go to tables in the shared folder and are dropped as the work ends.
 
     Returns ``id_col``, ``class_id`` (smallest id of the class), ``kept`` (the row of that
     id). Empty and null texts are equal, and so one class; a text without words is like
     its equals only. Null ids take part, with class_id null if the class has no id; kept
-    null. Rows that repeat an id share a class. Other columns are left out. An empty table
-    gives no rows.
+    null. Rows that repeat an id with different texts are documents of their own, each in the
+    class of its text. Other columns are left out. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
+    scratch = Scratch(spark)
+    keep, drop = scratch.keep, scratch.drop
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    docs = docs.withColumn("key", F.coalesce(F.col("id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + _NAMELESS))
     weights = spark.sparkContext.broadcast(idf_weights(*document_frequencies(docs, width), idf_strength))
+    picks, fine_picks = drawn(samples, bands, rows), drawn(fine_samples, fine_bands, fine_rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, w = Sampler(samples), weights.value
         for batch in batches:
-            prints, sketches = [], []
+            prints, buckets, sets = [], [], []
             for text, words in zip(batch.column(1), word_hashes(batch.column(1))):
                 prints.append(fingerprint(words, text))
                 h, n = np.unique(shingle_hashes(words, width), return_counts=True)
-                sketches.append((mix(sampler.sample(h, n * w[bucket_of(h)])) >> np.uint64(32)).astype("<u4").tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["id", "key", "print", "sketch"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    signed = cut(docs.mapInArrow(sign, f"id {kind}, key long, print binary, sketch binary"))
-    entries = cut(signed.groupBy("print").agg(F.min("key").alias("key")))
-    one = signed.where("sketch is not null").join(entries, ["print", "key"], "left_semi").dropDuplicates(["key"]).select("key", "sketch")
-
-    def meeting(rows: DataFrame, picks: np.ndarray) -> DataFrame:
-        """``bucket``, ``key`` and the bucket's number ``n`` of entries, where that is over 1."""
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = [band_keys(np.frombuffer(s.as_py(), "<u4"), picks) for s in batch.column(1)]
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(picks))), pa.array(np.concatenate(keys))], ["key", "bucket"])
-
-        dealt = rows.mapInArrow(deal, "key long, bucket long")
-        return cut(dealt.join(cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")), "bucket"))
-
-    met = meeting(one, drawn(samples, bands, rows))
-    fame = cut(met.groupBy("key").agg(F.sum("n").alias("fame")))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [elements(shingle_hashes(words, width)).tobytes() for words in word_hashes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "elements"])
-
-    wanted = docs.join(fame, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    sets = cut(wanted.mapInArrow(describe, "key long, elements binary"))
+                sets.append(_elements(h, n).tobytes())
+                buckets.append(band_keys(mix(sampler.sample(h, n * w[bucket_of(h)])) >> np.uint64(32), picks) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "print", "buckets", "elements"])
 
     def sign_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, w = Sampler(fine_samples, seed=31), weights.value
         for batch in batches:
             found = [np.frombuffer(e.as_py(), np.uint32) for e in batch.column(1)]
-            sketches = [(mix(sampler.sample(mix(e.astype(np.uint64)), w[e >> np.uint32(32 - BUCKET_BITS)], 1024)) >> np.uint64(32)).astype("<u4").tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], ["key", "sketch"])
+            keys = [band_keys(mix(sampler.sample(mix(e.astype(np.uint64)), w[e >> np.uint32(32 - BUCKET_BITS)], 1024)) >> np.uint64(32), fine_picks) for e in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["key", "buckets"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -218,63 +258,91 @@ def near_duplicates(
             sim = [weighted_jaccard(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), w) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
+    kind = df.schema[id_col].dataType.simpleString()
+    # a row's number names it from here on; it is fixed as the table is written
+    signed = keep(docs.mapInArrow(sign, f"id {kind}, print binary, buckets array<long>, elements binary").withColumn("row", F.monotonically_increasing_id()))
+    entries = keep(signed.groupBy("print").agg(F.min("row").alias("key"), F.min("id").alias("least_id")))
+
+    def meeting(dealt: DataFrame) -> DataFrame:
+        """``key``, its ``buckets`` of several entries, and how many rows those hold in all (``fame``)."""
+        each = dealt.select("key", F.explode("buckets").alias("bucket"))
+        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        return keep(each.join(shared, "bucket").groupBy("key").agg(F.sum("n").alias("fame"), F.collect_list("bucket").alias("buckets")))
+
+    def ranks(met: DataFrame) -> DataFrame:
+        return met.select("key", F.explode("buckets").alias("bucket"), F.struct("fame", (-F.col("key")).alias("k")).alias("rank"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
-        y = x.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-        return cut(y.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sim double"))
+        x = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")).hint("merge"), "a")
+        y = x.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")).hint("merge"), "b")
+        return keep(y.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sim double"))
 
     def pairs_of(stars: DataFrame) -> DataFrame:
         return stars.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
 
-    def components(sims: DataFrame) -> DataFrame:
-        return cut(connected_components(sims.where(F.col("sim") >= threshold).select("a", "b")))
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links, scratch)
+
+    def links_of(sims: DataFrame) -> DataFrame:
+        return sims.where(F.col("sim") >= threshold).select("a", "b")
 
-    def still_open(ranked: DataFrame, parts: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components; a bucket of one component has no more to find."""
+    def still_open(ranked: DataFrame, parts: DataFrame, strays: bool = False) -> DataFrame:
+        """Rows of the buckets that hold several components, with the component of the bucket's first in rank (``main``); of a bucket of one component there is no more to find. ``strays``: without that component."""
         of = ranked.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        return cut(of.join(cut(mixed), "bucket"))
-
-    ranked = cut(met.join(fame, "key").select("bucket", "key", F.struct("fame", (-F.col("key")).alias("k")).alias("rank")))
-    # first each entry with the one entry of most fame among the centres of its buckets
-    top = cut(ranked.groupBy("bucket").agg(F.max("rank").alias("top")))
-    sims = verified(pairs_of(ranked.join(top, "bucket").where(F.col("top.k") != -F.col("key")).groupBy("key").agg((-F.max("top")["k"]).alias("centre"))))
-    parts = components(sims)
-    ranked = still_open(ranked, parts)
-    size = cut(ranked.groupBy("bucket").agg(F.count("*").alias("n")))
-    crowds = ranked.join(size.where(F.col("n") > crowded), "bucket", "left_semi").select("key").distinct()
-    anew = cut(sets.join(cut(crowds), "key", "left_semi").mapInArrow(sign_anew, "key long, sketch binary"))
-    fine = meeting(anew, drawn(fine_samples, fine_bands, fine_rows)).join(fame, "key").select("bucket", "key", F.struct("fame", (-F.col("key")).alias("k")).alias("rank"))
-    thin = ranked.join(size.where(F.col("n") <= crowded), "bucket", "left_semi").select("bucket", "key", "rank")
-    ranked = members = still_open(thin.unionByName(fine), parts)
-    tried = None
-    while not members.isEmpty():
-        centres = cut(members.groupBy("bucket").agg((-F.max("rank")["k"]).alias("centre")))
-        pairs = pairs_of(ranked.join(centres, "bucket").where("key != centre"))
-        sims = cut(sims.unionByName(verified(pairs.join(sims, ["a", "b"], "left_anti"))))
-        parts = components(sims)
-        tried = centres if tried is None else cut(tried.unionByName(centres))
-        first = cut(tried.groupBy("bucket").agg(F.min("centre").alias("centre")))
-        of = still_open(ranked.drop("component"), parts).join(first, "bucket")
-        main = parts.select(F.col("node").alias("centre"), F.col("component").alias("main"))
-        of = of.join(main, "centre", "left").withColumn("out", F.col("component") != F.coalesce("main", "centre"))
-        # an entry that has been compared with a whole bucket needs no more there
-        of = of.join(tried.select("bucket", F.col("centre").alias("key"), F.lit(True).alias("done")), ["bucket", "key"], "left")
-        of = cut(of.withColumn("out", F.col("out") & F.col("done").isNull()).drop("main", "done"))
-        load = of.groupBy("bucket").agg(F.count_if("out").alias("u"), F.count("*").alias("m"))
-        open_, total = load.agg(F.sum(F.col("u") * F.col("m")), F.sum("m")).first()
-        if not open_:
-            break
-        if open_ <= open_pairs * max(total, 100_000):
-            near = sims.select(F.col("a").alias("key"), F.col("b").alias("centre"), "sim").unionByName(sims.select(F.col("b").alias("key"), F.col("a").alias("centre"), "sim"))
-            of = cut(of.join(near, ["key", "centre"], "left").select("bucket", "key", "component", "out", (1 - F.coalesce("sim", F.lit(1.0))).alias("far")))
-            left = of.where("out").select("bucket", F.col("key").alias("k1"), F.col("component").alias("c1"), F.col("far").alias("f1"))
-            pairs = left.join(of, "bucket").where((F.col("c1") != F.col("component")) & (F.abs(F.col("f1") - F.col("far")) <= 1 - threshold + 1e-9))
-            pairs = pairs.select(F.least("k1", "key").alias("a"), F.greatest("k1", "key").alias("b")).distinct().join(sims, ["a", "b"], "left_anti")
-            parts = components(cut(sims.unionByName(verified(pairs))))
+        mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max(F.struct("rank", "component"))["component"].alias("main"))
+        mixed = mixed.where("lo != hi").select(F.col("bucket").alias("in"), "n", "main")
+        return of.join(mixed, (F.col("bucket") == F.col("in")) & (F.col("component") != F.col("main") if strays else F.lit(True))).drop("in")
+
+    own = signed.where("buckets is not null").select(F.col("row").alias("key"), "buckets").join(entries.hint("merge"), "key", "left_semi")
+    dealt = keep(own)
+    met = meeting(dealt)
+    drop(dealt)
+    sets = keep(signed.select(F.col("row").alias("key"), "elements").join(met.hint("merge"), "key", "left_semi"))
+    # first each entry with the most famous entry of each of its buckets
+    ranked = ranks(met)
+    top = ranked.groupBy("bucket").agg((-F.max("rank")["k"]).alias("centre"))
+    sims = verified(pairs_of(ranked.join(top, "bucket").where("key != centre").select("key", "centre").distinct()))
+    parts = components(links_of(sims))
+    # then what is outside the component of its bucket's centre with all of that component
+    opened = keep(still_open(ranked, parts, strays=True))
+    found = keep(linked_blocks(opened.select("key", "main").distinct(), parts, sets, weights, threshold, block))
+    links = keep(links_of(sims).unionByName(found))
+    drop(parts, found)
+    parts = components(links)
+    opened2 = keep(still_open(opened.select("bucket", "key", "rank"), parts).select("bucket", "key", "rank", "n"))
+    drop(opened)
+    anew = keep(sets.join(opened2.where(F.col("n") > crowded).select("key").distinct(), "key", "left_semi").mapInArrow(sign_anew, "key long, buckets array<long>"))
+    fine = meeting(anew)
+    thin = opened2.where(F.col("n") <= crowded).select("key", "bucket", "rank")
+    ranked = keep(thin.unionByName(ranks(fine)))
+    of = keep(still_open(ranked, parts).select("bucket", "key", "rank", "component"))
+    drop(opened2, anew, fine)
+    wide = 1
+    while not of.isEmpty():
+        counts = of.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        open_, total = counts.agg(F.sum(F.expr("m * m - cc") / 2), F.sum("m")).first()
+        last = open_ <= open_pairs * max(total, 100_000)
+        if last:
+            other = of.select("bucket", F.col("key").alias("k1"), F.col("component").alias("c1"))
+            pairs = other.join(of, "bucket").where((F.col("k1") < F.col("key")) & (F.col("c1") != F.col("component"))).select(F.col("k1").alias("a"), F.col("key").alias("b")).distinct()
+        else:
+            first = of.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))).where(F.col("r") <= wide).select("bucket", F.col("key").alias("centre"))
+            pairs = pairs_of(of.join(first, "bucket").where("key != centre"))
+        pairs = keep(pairs.join(sims, ["a", "b"], "left_anti"))
+        more = verified(pairs)
+        both, joined = keep(sims.unionByName(more)), keep(links.unionByName(links_of(more)))
+        drop(pairs, more, sims, links, parts)
+        sims, links, parts = both, joined, components(joined)
+        if last:
             break
-        ranked = of.drop("centre", "out")
-        members = of.where("out")
-    classes = cut(entries.join(parts, F.col("key") == F.col("node"), "left").select("print", F.coalesce("component", "key").alias("class")))
-    out = signed.join(classes, "print").select(F.col("id").alias(id_col), F.when(F.col("class") < _NAMELESS, F.col("class")).alias("class_id"))
+        # an entry that has been compared with a whole bucket needs no more there
+        rest = keep(still_open(of.join(first.withColumnRenamed("centre", "key"), ["bucket", "key"], "left_anti").select("bucket", "key", "rank"), parts).select("bucket", "key", "rank", "component"))
+        drop(of)
+        of, wide = rest, wide * 2
+    drop(sets)
+    linked = entries.join(parts, F.col("key") == F.col("node")).select("key", "least_id", "component")
+    named = linked.join(linked.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("key", "class_id")
+    classes = entries.join(named.withColumnRenamed("class_id", "joined"), "key", "left").select("print", F.when(F.col("joined").isNull(), F.col("least_id")).otherwise(F.col("joined")).alias("class_id"))
+    out = cut(signed.select("id", "print").join(keep(classes).hint("merge"), "print").select(F.col("id").alias(id_col), "class_id"))
+    scratch.close()
     return out.withColumn("kept", F.col(id_col) == F.col("class_id"))

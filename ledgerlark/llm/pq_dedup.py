@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, cut, prepare
+from ._common import Scratch, connected_components, cut, prepare
 
 #: Names of entries that have no id start here, above any real id.
 _NAMELESS = 1 << 62
@@ -121,6 +121,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     kept null. Other columns are left out. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
+    scratch = Scratch(spark)
     v = F.col("v")
     valid = F.coalesce(
         (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
@@ -199,7 +200,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = cut(work.groupBy("cell", "mb", "qb").applyInPandas(compare, "entry long, links long, to long"))
     names = entries.select("entry", "rep")
     edges = found.where("entry != to").join(names.withColumnRenamed("rep", "a"), "entry").join(names.select(F.col("entry").alias("to"), F.col("rep").alias("b")), "to")
-    parts = connected_components(edges.select("a", "b"))
+    parts = connected_components(edges.select("a", "b"), scratch)
     per = entries.join(found.groupBy("entry").agg(F.sum("links").alias("links")), "entry", "left").join(parts, F.col("rep") == F.col("node"), "left")
     per = cut(per.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     named = F.when(F.col("component_id") < _NAMELESS, F.col("component_id"))
