@@ -70,21 +70,33 @@ class PqIndex:
 def _unit(vectors, dims: int) -> np.ndarray:
     """Rows of length 1 in double precision; shorter vectors are filled with zeros."""
     x = np.zeros((len(vectors), dims))
-    for i, v in enumerate(vectors):
-        x[i, : len(v)] = v
+    size = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    if len(vectors):
+        x[np.arange(dims) < size[:, None]] = np.concatenate(list(vectors))
+    x /= np.maximum(np.abs(x).max(1, keepdims=True, initial=0), np.finfo(float).tiny)  # so that no square over- or underflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_index(sample: np.ndarray, per_list: int, n: int, threshold: float, subspaces: int, z: float = 3.0, seed: int = 9, most_lists: int = 4096) -> PqIndex:
-    """Train on unit vectors. ``n``: vectors to index, of which about ``per_list`` go into a list.
+def split_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Many centres in two levels: cells, each cut into a share of the centres by its points."""
+    if k <= 512:
+        return kmeans(x, k, rng)
+    cells = kmeans(x, round(k**0.5), rng)
+    near = np.argmax(x @ cells.T - (cells * cells).sum(1) / 2, 1)
+    return np.concatenate([kmeans(own, max(1, round(k * len(own) / len(x))), rng) for c in range(len(cells)) if len(own := x[near == c])])
+
+
+def fit_index(sample: np.ndarray, lists: int, threshold: float, subspaces: int, z: float = 2.0, seed: int = 9) -> PqIndex:
+    """Train ``lists`` centres and the codebooks on unit vectors.
 
     A vector at the threshold's angle from a query, in a random direction, sees the gap
     between two centres shift by about tan(angle) * |difference of the centres| / sqrt(dims);
-    the query probes every list within ``z`` such shifts of its best.
+    the query probes every list within ``z`` such shifts of its best. A link is found if
+    either of its ends probes the other's list.
     """
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
-    centres = kmeans(sample, int(np.clip(n // per_list, 1, most_lists)), rng)
+    centres = split_kmeans(sample, lists, rng)
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     residuals = sample - centres[np.argmax(sample @ centres.T, 1)]
     width = dims // subspaces
@@ -98,7 +110,7 @@ def _filled(book: np.ndarray) -> np.ndarray:
     return np.concatenate([book, np.repeat(book[:1], 256 - len(book), 0)]) if len(book) < 256 else book
 
 
-def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, per_list: int = 256, block: int = 2000, sample_rows: int = 20_000, subspaces: int = 16) -> DataFrame:
+def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, per_list: int = 256, block: int = 2000, sample_rows: int = 20_000, subspaces: int = 16, most_lists: int = 65_536) -> DataFrame:
     """Links between vectors of cosine ``threshold`` or more, and their connected components.
 
     Equal vectors are one entry with a count. Entries go into inverted lists by their
@@ -109,8 +121,10 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     inequality misses none; candidates are reranked by exact cosines in double precision.
     Lists and their queries are cut into blocks of about ``block``, one pair of blocks a
     task group, and each group returns counts and a spanning forest of its links rather
-    than the links, so a dense group of n vectors gives on the order of n rows. Centres
-    and codebooks are trained on at most ``sample_rows`` entries, taken by a hash; all
+    than the links, so a dense group of n vectors gives on the order of n rows. A link that only one
+    end's probes find counts for both. Centres
+    and codebooks are trained on at most ``sample_rows`` entries, or four for each list if that is
+    more (262,144 at ``most_lists``, which are reached at 16.8 million vectors; beyond, lists grow), taken by a hash; all
     entries are indexed.
 
     Returns ``id_col``, ``n_links`` (other rows linked directly, equal vectors included),
@@ -126,20 +140,22 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     valid = F.coalesce(
         (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", valid)
-    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x + F.lit(0.0))))
-    entries = cut(rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("entry", F.xxhash64("v")).withColumn("rep", F.coalesce(F.col("rep").cast("bigint"), F.shiftrightunsigned("entry", 2) + _NAMELESS)))
-    # the hash only names an entry inside this call; two vectors of one hash would be caught here
-    n, names, dims = entries.agg(F.count("*"), F.countDistinct("entry"), F.max(F.size("v"))).first()
-    if n != names:
-        raise ValueError("two different vectors share a 64-bit hash")
+    number = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("v")).withColumn("ok", valid)
+    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x + F.lit(0.0).cast(number))))
+    # an entry's number, fixed as it is written, names it in this call
+    entries = rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("entry", F.monotonically_increasing_id())
+    entries = cut(entries.withColumn("rep", F.coalesce(F.col("rep").cast("bigint"), F.col("entry") + _NAMELESS)))
+    n, dims = entries.agg(F.count("*"), F.max(F.size("v"))).first()
     lone = rows.where("not ok").select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast("bigint").alias("component_id"))
     if not n:
         return lone.withColumn("kept", F.col(id_col) == F.col("component_id"))
     dims = -(-dims // subspaces) * subspaces
-    part = F.pmod(F.xxhash64("entry"), F.lit(1 << 20)) <= F.lit(int(min(1.0, 1.05 * sample_rows / n) * (1 << 20)))
-    sample = entries.where(part).orderBy(F.xxhash64("entry", F.lit(1))).limit(sample_rows).select("v").toPandas()
-    index = spark.sparkContext.broadcast(fit_index(_unit(sample["v"], dims), per_list, n, threshold, subspaces))
+    lists = int(np.clip(n // per_list, 1, most_lists))
+    sample_rows = max(sample_rows, 4 * lists)
+    part = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= F.lit(int(min(1.0, 1.05 * sample_rows / n) * (1 << 20)))
+    sample = entries.where(part).orderBy(F.xxhash64("v", F.lit(1))).limit(sample_rows).select("v").toPandas()
+    index = spark.sparkContext.broadcast(fit_index(_unit(sample["v"], dims), lists, threshold, subspaces))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +171,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sizes = {r.cell: (-(-r.m // block), -(-r.q // block)) for r in sizes.collect()}  # one row a list
     n_lists = len(index.value.centres)
     wide = lambda k: F.from_json(F.lit(str([max(1, sizes.get(c, (0, 0))[k]) for c in range(n_lists)])), "array<bigint>")[F.col("cell").cast("int")]
-    dealt = dealt.withColumn("ms", wide(0)).withColumn("qs", wide(1)).withColumn("h", F.xxhash64("entry", F.lit(2)))
+    dealt = dealt.withColumn("ms", wide(0)).withColumn("qs", wide(1)).withColumn("h", F.xxhash64("entry"))
     members = dealt.where("own").select("cell", "entry", F.pmod("h", "ms").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), F.lit(True).alias("own"))
     queries = dealt.select("cell", "entry", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), F.pmod("h", "qs").alias("qb"), F.lit(False).alias("own"))
     work = members.unionByName(queries).join(entries.select("entry", "v", "copies"), "entry")
@@ -189,13 +205,18 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             cos = np.concatenate([np.einsum("ij,ij->i", x[qi[k : k + 65536]], x[mj[k : k + 65536]]) for k in range(0, len(qi), 65536)]) if len(qi) else np.zeros(0)
             qi, mj = qi[cos >= threshold], mj[cos >= threshold]
             np.add.at(links, qi, copies[mj])
+            if len(qi):  # the other end counts the link too, unless it finds it by its own probes
+                s, home = x[mj] @ ix.centres.T, ix.assign(x[qi])
+                unseen = s[np.arange(len(s)), home] < s.max(1) - ix.margin
+                np.add.at(links, mj[unseen], copies[qi[unseen]])
             for p, r in zip(ids[qi].tolist(), ids[mj].tolist()):
                 p, r = find(p), find(r)
                 if p != r:
                     root[max(p, r)] = min(p, r)
-        used = [k for k in dict.fromkeys(ids.tolist())]
-        count = pd.Series(links[a], ids[a])
-        return pd.DataFrame({"entry": used, "links": [int(count.get(k, 0)) for k in used], "to": [find(k) for k in used]})
+        count = pd.Series(links, ids).groupby(level=0).sum()
+        to = np.array([find(int(k)) for k in count.index], np.int64)
+        told = (count.to_numpy() > 0) | (to != count.index.to_numpy())
+        return pd.DataFrame({"entry": count.index[told], "links": count.to_numpy()[told], "to": to[told]})
 
     found = cut(work.groupBy("cell", "mb", "qb").applyInPandas(compare, "entry long, links long, to long"))
     names = entries.select("entry", "rep")
