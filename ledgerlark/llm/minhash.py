@@ -221,11 +221,12 @@ def near_duplicates(
     Texts are read twice: for the document frequencies, and for an entry's bands and its set of
     shingles, which go to tables in the shared folder and are dropped as the work ends.
 
-    Returns ``id_col``, ``class_id`` (smallest id of the class), ``kept`` (the row of that
-    id). Empty and null texts are equal, and so one class; a text without words is like
-    its equals only. Null ids take part, with class_id null if the class has no id; kept
-    null. Rows that repeat an id with different texts are documents of their own, each in the
-    class of its text. Other columns are left out. An empty table gives no rows.
+    Returns ``id_col``, ``class_id`` (smallest id of the class), ``text_hash`` (xxhash64 of the text)
+    and ``kept``: the row of that id stays, and if the class has several texts of that id, the one of
+    the smallest hash. Empty and null texts are equal, and so one class; a text without words is like
+    its equals only. Null ids take part, after all others; class_id is null if the class has no id.
+    Rows that repeat an id with different texts are documents of their own, each in the
+    class of its text; rows that repeat both share their verdict. Other columns are left out. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
     scratch = Scratch(spark)
@@ -243,7 +244,7 @@ def near_duplicates(
                 h, n = np.unique(shingle_hashes(words, width), return_counts=True)
                 sets.append(_elements(h, n).tobytes())
                 buckets.append(band_keys(mix(sampler.sample(h, n * w[bucket_of(h)])) >> np.uint64(32), picks) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "print", "buckets", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "text_hash", "print", "buckets", "elements"])
 
     def sign_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, w = Sampler(fine_samples, seed=31), weights.value
@@ -260,8 +261,9 @@ def near_duplicates(
 
     kind = df.schema[id_col].dataType.simpleString()
     # a row's number names it from here on; it is fixed as the table is written
-    signed = keep(docs.mapInArrow(sign, f"id {kind}, print binary, buckets array<long>, elements binary").withColumn("row", F.monotonically_increasing_id()))
-    entries = keep(signed.groupBy("print").agg(F.min("row").alias("key"), F.min("id").alias("least_id")))
+    signed = keep(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, f"id {kind}, text_hash long, print binary, buckets array<long>, elements binary").withColumn("row", F.monotonically_increasing_id()))
+    first_row = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash"))
+    entries = keep(signed.groupBy("print").agg(F.min("row").alias("key"), first_row.alias("first")))
 
     def meeting(dealt: DataFrame) -> DataFrame:
         """``key``, its ``buckets`` of several entries, and how many rows those hold in all (``fame``)."""
@@ -340,9 +342,11 @@ def near_duplicates(
         drop(of)
         of, wide = rest, wide * 2
     drop(sets)
-    linked = entries.join(parts, F.col("key") == F.col("node")).select("key", "least_id", "component")
-    named = linked.join(linked.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("key", "class_id")
-    classes = entries.join(named.withColumnRenamed("class_id", "joined"), "key", "left").select("print", F.when(F.col("joined").isNull(), F.col("least_id")).otherwise(F.col("joined")).alias("class_id"))
-    out = cut(signed.select("id", "print").join(keep(classes).hint("merge"), "print").select(F.col("id").alias(id_col), "class_id"))
+    linked = entries.join(parts, F.col("key") == F.col("node")).select("key", "first", "component")
+    named = linked.join(linked.groupBy("component").agg(F.min("first").alias("joined")), "component").select("key", "joined")
+    classes = keep(entries.join(named, "key", "left").select("print", F.coalesce("joined", "first").alias("first")))
+    out = signed.select("id", "text_hash", "print").join(classes.hint("merge"), "print")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    out = cut(out.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), kept.alias("kept"), "text_hash"))
     scratch.close()
-    return out.withColumn("kept", F.col(id_col) == F.col("class_id"))
+    return out

@@ -244,6 +244,23 @@ def test_isotonic():
     assert np.allclose(got, [0.1, 0.3, 0.3, 0.3, 0.9])
 
 
+def test_pipeline_stages_go_by_rows(spark):
+    """Repeated ids with other texts, repeated rows, null ids and texts, columns of clashing names, no rows and no labels."""
+    import corpus_pipeline
+
+    y = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, "a b c d e f g h"), (4, y), (5, "A b c d e f g h"), (6, y + " more"), (7, None), (7, None), (None, "Q r s"), (None, "q r s"), (8, "q r s t"), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "clash", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, kept string, text_hash int")
+    once = corpus_pipeline.exact(spark, docs, D)
+    assert once.columns == docs.columns and sorted(((r.doc_id, r.text) for r in once.collect()), key=str) == sorted([(4, y), (5, "A b c d e f g h"), (6, y + " more"), (8, "q r s t"), (9, ""), *[x for x in [(None, "Q r s"), (None, "q r s")] if any(r.text == x[1] for r in once.collect())]], key=str)
+    near = corpus_pipeline.near(spark, docs, D)
+    assert near.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in near.where("doc_id is not null").collect()), key=str) == sorted([(4, "a b c d e f g h"), (4, y), (7, None), (8, "q r s t")], key=str)
+    assert near.where("doc_id is null").count() == 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), D).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

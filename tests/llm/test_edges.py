@@ -94,8 +94,13 @@ def test_minhash(spark, docs):
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
     classes = {(r.doc_id, r.class_id, r.kept) for r in got}
-    assert {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (None, None, None)} == classes
+    assert {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (None, None, True)} == classes
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    # rows that repeat an id with other texts are documents of their own
+    x, y = "a b c d e f g h", " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(4, x), (4, y), (5, x), (6, y + " more"), (7, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(rows).collect()}
+    assert got == {(4, 4, True), (5, 4, False), (6, 4, False), (7, 7, True)}
 
 
 def test_quality(spark, docs):
