@@ -151,3 +151,21 @@ def stress(holdings: DataFrame, scenarios: DataFrame) -> DataFrame:
 def stress_level(loss: Column) -> Column:
     """Label of a signed loss in per cent."""
     return F.when(loss < -30, "critical").when(loss < -20, "very_high").when(loss < -10, "high").when(loss < -5, "medium").otherwise("low")
+
+
+def backtest_metrics(df: DataFrame, risk_free: float = 0.07, value: float = 1_000_000.0, key: str = "portfolio") -> DataFrame:
+    """The 21 figures of a back-test: compounded return, Sharpe, Sortino below the daily rate, drawdown, VaR, days, moments, final value."""
+    daily, root = (1 + risk_free) ** (1 / 252) - 1, F.sqrt(F.lit(252.0))
+    ret = F.col("ret")
+    g = df.groupBy(key).agg(
+        (F.exp(F.sum(F.ln(1 + ret)) * 252 / F.count("*")) - 1).alias("annualised_return"), (F.stddev_samp("ret") * root).alias("annualised_volatility"), (F.stddev_samp(F.when(ret < daily, ret - daily)) * root).alias("down"),
+        F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg((ret > 0).cast("double")).alias("win_rate"), F.avg(F.when(ret > 0, ret)).alias("avg_win"), F.avg(F.when(ret < 0, ret)).alias("avg_loss"),
+        (F.exp(F.sum(F.ln(1 + ret))) * value).alias("final_value"), (F.exp(F.sum(F.ln(1 + ret)) - F.ln(1 + F.min_by("ret", "d"))) - 1).alias("total_return"),
+    )
+    dd = with_equity(df, key).groupBy(key).agg(F.min("drawdown").alias("max_drawdown"))
+    g = g.join(dd, key).join(moments(df, key).select(key, F.col("skew").alias("skewness"), F.col("kurtosis").alias("excess_kurtosis")), key)
+    for level in (0.95, 0.99):
+        g = g.join(value_at_risk(df, level, "signed", key).toDF(key, f"var_{level * 100:.0f}", f"cvar_{level * 100:.0f}"), key)
+    excess = F.col("annualised_return") - risk_free
+    g = g.withColumn("sharpe_ratio", excess / F.nullif("annualised_volatility", F.lit(0.0))).withColumn("sortino_ratio", excess / F.nullif("down", F.lit(0.0))).withColumn("calmar_ratio", F.col("annualised_return") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)))
+    return g.withColumn("profit_loss_ratio", F.coalesce(F.col("avg_win") / F.abs("avg_loss"), F.lit(float("inf")))).withColumn("risk_free_rate", F.lit(risk_free)).drop("down")
