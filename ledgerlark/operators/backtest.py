@@ -128,13 +128,22 @@ def correlation_pairs(returns: DataFrame, least: int = 30) -> DataFrame:
 
 
 def rolling_correlations(returns: DataFrame, n: int = 60, z: float = 2.0) -> DataFrame:
-    """Days on which a pair's rolling correlation is over ``z`` deviations from its own mean."""
+    """Days on which a pair's rolling correlation is over ``z`` deviations from its own mean.
+
+    Sums run along each pair's days and a window's sums are the difference of two of them, so a row costs the same
+    whatever ``n``. Pairs grow with the square of the symbols; each pair is a group of its own.
+    """
     a = returns.select("d", F.col("symbol").alias("a"), F.col("ret").alias("x"))
     b = returns.select("d", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    w = Window.partitionBy("a", "b").orderBy("d").rowsBetween(-(n - 1), 0)
-    x = a.join(b, "d").where("a < b").withColumn("k", F.count("*").over(w)).withColumn("c", F.covar_pop("x", "y").over(w) / F.nullif(F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w), F.lit(0.0))).where(F.col("k") == n).withColumn("c", F.round("c", 9))
+    w = Window.partitionBy("a", "b").orderBy("d")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y")}
+    j = a.join(b, "d").where("a < b").select("a", "b", "d", F.row_number().over(w).alias("k"), *(F.sum(c).over(so_far).alias(s) for s, c in sums.items()))
+    j = j.select("a", "b", "k", *((F.col(s) - F.coalesce(F.lag(s, n).over(w), F.lit(0.0))).alias(s) for s in sums)).where(F.col("k") >= n)
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / n
+    c = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.nullif(F.sqrt(spread("sx", "sxx") * spread("sy", "syy")), F.lit(0.0))
     every = Window.partitionBy("a", "b")
-    x = x.withColumn("z", (F.col("c") - F.avg("c").over(every)) / F.nullif(F.stddev_pop("c").over(every), F.lit(0.0)))
+    x = j.withColumn("c", F.round(c, 9)).withColumn("z", (F.col("c") - F.avg("c").over(every)) / F.nullif(F.stddev_pop("c").over(every), F.lit(0.0)))
     return x.where(F.abs("z") > z).groupBy("a", "b").agg(F.count("*").alias("odd_days"), F.max(F.abs("z")).alias("max_z"))
 
 

@@ -59,9 +59,14 @@ def garch(df: DataFrame, steps: int = 5, least: int = 30, key: str = "portfolio"
 
 
 def monte_carlo(stats: DataFrame, paths: int = 10_000, days: int = 252, seed: int = 42, key: str = "portfolio") -> DataFrame:
-    """Quantiles of simulated growth, expected shortfall and chance of profit. Each path is a row, each day a seeded normal draw."""
+    """Quantiles of simulated growth, expected shortfall and chance of profit. Each path is a row, each day a normal draw.
+
+    A draw is made from hashes of the seed, the key, the path and the day (Box-Muller), so it is the same on any cluster.
+    """
     x = stats.crossJoin(stats.sparkSession.range(paths).withColumnRenamed("id", "path"))
-    x = x.select(key, "mu", "sigma", "path", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day")).withColumn("z", F.randn(seed))
+    x = x.select(key, "mu", "sigma", "path", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), key, "path", "day"), 11) + F.lit(0.5)) / float(1 << 53)
+    x = x.withColumn("z", F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * F.pi() * uniform(1)))
     end = x.groupBy(key, "path").agg((F.exp(F.sum(F.ln(F.greatest(F.lit(1e-6), 1 + F.col("mu") + F.col("sigma") * F.col("z"))))) - 1).alias("r"))
     q = end.groupBy(key).agg(F.percentile("r", F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("q"), F.avg((F.col("r") > 0).cast("double")).alias("p_profit"))
     tail = end.join(q, key).where(F.col("r") <= F.col("q")[0]).groupBy(key).agg(F.avg("r").alias("shortfall"))

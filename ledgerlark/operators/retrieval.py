@@ -66,3 +66,41 @@ def cosine_search(asked: DataFrame, df: DataFrame, id_col: str, vector_col: str,
     found = pairs.mapInArrow(best, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("_k", rank).where(F.col("_k") <= k).select("query_id", F.col("id").alias(id_col), "similarity")
+
+
+def best_of(df: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
+    """The ``k`` rows of greatest ``score`` a query, ties by id."""
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), id_col))
+    return df.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
+
+
+def bm25(asked: DataFrame, df: DataFrame, query_col: str, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best texts for each query by BM25 over runs of ASCII letters, digits and _.
+
+    Only terms that a query has leave the scan of ``df`` (a broadcast semi join when the queries are few); lengths and
+    document frequencies are counted over all texts.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "")
+    q = asked.select(query_col, F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
+    d = df.select(id_col, words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
+    stats = d.where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    tf = d.select(id_col, "n", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy(id_col, "n", "term").agg(F.count("*").alias("tf"))
+    found = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").join(q, "term").join(F.broadcast(stats))  # one row
+    idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    return best_of(found.groupBy(query_col, id_col).agg(F.round(F.sum(part), 6).alias("score")), query_col, id_col, k)
+
+
+def relative(df: DataFrame, query_col: str) -> DataFrame:
+    """Scores of each query's list brought to 0 .. 1; a list of one score has 1."""
+    w = Window.partitionBy(query_col)
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    return df.withColumn("score", F.coalesce((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(1.0)))
+
+
+def fused(a: DataFrame, b: DataFrame, query_col: str, id_col: str, alpha: float, k: int) -> DataFrame:
+    """The ``k`` best of two scored lists a query: ``alpha`` (held within 0 .. 1) of the first's score and the rest of the second's, absent scores 0."""
+    alpha = min(1.0, max(0.0, alpha))
+    x = a.select(query_col, id_col, F.col("score").alias("_a")).join(b.select(query_col, id_col, F.col("score").alias("_b")), [query_col, id_col], "full_outer")
+    zero = F.lit(0.0)
+    return best_of(x.select(query_col, id_col, F.round(alpha * F.coalesce("_a", zero) + round(1 - alpha, 10) * F.coalesce("_b", zero), 6).alias("score")), query_col, id_col, k)
