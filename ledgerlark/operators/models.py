@@ -165,3 +165,33 @@ def optimal_weights(df: DataFrame, cap: float = 0.4, key: str = "portfolio") ->
         return pd.DataFrame(out, columns=[key, "method", "symbol", "weight"])
 
     return df.select(key, "symbol", "d", "ret").groupBy(key).applyInPandas(run, f"{key} string, method string, symbol string, weight double")
+
+
+def by_group(df: DataFrame, solve, schema: str, key: str = "portfolio", least: int = 20) -> DataFrame:
+    """``solve(symbols, annual means, annual covariance)`` for each key, over the days that all of its symbols have, at least ``least`` of them; it gives rows without the key."""
+    with_package(df.sparkSession)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = f.pivot(index="d", columns="symbol", values="ret").dropna()
+        rows = []
+        if len(x) >= least and x.shape[1] >= 2:
+            rows = solve(list(x.columns), x.mean().to_numpy() * 252, np.cov(x.to_numpy().T) * 252 + np.eye(x.shape[1]) * 1e-10)
+        return pd.DataFrame([(f[key].iloc[0], *r) for r in rows], columns=[key, *(c.split()[0] for c in schema.split(", "))])
+
+    return df.select(key, "symbol", "d", "ret").groupBy(key).applyInPandas(run, f"{key} string, {schema}")
+
+
+def frontier(mu: np.ndarray, cov: np.ndarray, points: int = 20, cap: float = 1.0) -> list[tuple[float, float]]:
+    """(return, volatility) of portfolios of least variance for rewards that rise from none."""
+    scale = np.trace(cov) / len(cov) / max(np.abs(mu).max(), 1e-12)
+    made = [minimum_variance(cov, cap, mu, k * scale) for k in np.linspace(0, 20, points)]
+    return [(float(w @ mu), float(np.sqrt(w @ cov @ w))) for w in made]
+
+
+def weight_metrics(returns: DataFrame, weights: DataFrame, risk_free: float = 0.07) -> DataFrame:
+    """Return, volatility, Sharpe, Sortino, drawdown and Calmar of weights held daily, with their concentration."""
+    from ledgerlark.operators.backtest import risk_bundle, weighted_returns
+
+    r = risk_bundle(weighted_returns(returns, weights), risk_free)
+    c = weights.groupBy("portfolio").agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.count_if(F.col("weight") > 0.001).alias("held"))
+    return r.join(c, "portfolio")

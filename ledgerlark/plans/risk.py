@@ -264,3 +264,42 @@ def f21_optimal_weights(spark, d):
 
     groups = X.returns(spark, d).withColumn("d", F.trunc("d", "MM")).groupBy("symbol", "d").agg(F.avg("ret").alias("ret")).withColumn("portfolio", F.substring("symbol", 1, 7))
     return optimal_weights(groups)
+
+
+def _grouped(spark, d):
+    """Daily returns of each group of brands."""
+    return X.returns(spark, d).withColumn("portfolio", F.substring("symbol", 1, 7))
+
+
+for _name, _method in (("f23_risk_parity", "risk_parity"), ("f25_hierarchical_parity", "hierarchical"), ("f26_equal_weight", "equal"), ("f21_daily_optimal_weights", None)):
+
+    @query(name=_name)
+    def _weights(spark, d, method=_method):
+        from ledgerlark.operators.models import optimal_weights
+
+        x = optimal_weights(_grouped(spark, d))
+        return x if method is None else x.where(F.col("method") == method).select("portfolio", "symbol", "weight")
+
+
+@query()
+def f22_frontier(spark, d):
+    from ledgerlark.operators.models import by_group, frontier
+
+    return by_group(_grouped(spark, d), lambda names, mu, cov: [(k, *p) for k, p in enumerate(frontier(mu, cov))], "point int, ret double, volatility double")
+
+
+@query()
+def f24_black_litterman(spark, d):
+    """One view a group: its first symbol returns 10 % a year, with confidence 0.5."""
+    from ledgerlark.operators.models import black_litterman, by_group
+
+    return by_group(_grouped(spark, d), lambda names, mu, cov: list(zip(names, map(float, mu), map(float, black_litterman(mu, cov, {0: (0.10, 0.5)})))), "symbol string, prior double, posterior double")
+
+
+@query(_EQ + f""", g as (select portfolio, avg(ret) * 252 as ar, stddev_samp(ret) * sqrt(252) as vol, stddev_samp(ret) filter (ret < 0) * sqrt(252) as down, min(dd) as mdd from q group by 1), c as (select portfolio, sum(weight * weight) as hhi, count(*) filter (weight > 0.001) as held from weights group by 1)
+select portfolio, round(ar, 6) as annual_return, round(vol, 6) as volatility, round((ar - 0.07) / vol, 5) as sharpe, round((ar - 0.07) / down, 5) as sortino, round(ar / abs(mdd), 5) as calmar, round(mdd, 6) as max_drawdown, round(hhi, 6) as hhi, held from g join c using (portfolio)""")
+def f27_weight_metrics(spark, d):
+    from ledgerlark.operators.models import weight_metrics
+
+    x = weight_metrics(X.returns(spark, d), X.weights(spark, d))
+    return r(x.select("portfolio", "annual_return", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "hhi", "held"), "portfolio", "held", sharpe=5, sortino=5, calmar=5)

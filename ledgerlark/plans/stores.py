@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators.retrieval import best_by_prefix, cosine_search, cosine_top_k, last_of_group
 from ledgerlark.plans import fixtures as X
 from ledgerlark.plans.registry import query
-from ledgerlark.streaming.rollup import hourly_rollup, run_to_end
+from ledgerlark.streaming.rollup import daily_bars_stream, first_of_key, hourly_rollup, request_counts, run_to_end, sessions
 
 
 @query("select event_type, count(*) as n from events group by 1")
@@ -109,3 +109,38 @@ def x01_hourly_rollup(spark, d):
     schema = X.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return run_to_end(hourly_rollup(events)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def _stream(spark, d, name):
+    return spark.readStream.schema(X.table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query("""with t as (select o_orderstatus as symbol, o_orderdate as ts, o_orderkey as seq, o_totalprice as price from orders)
+select symbol, cast(ts as date) as d, arg_min(price, (ts, seq)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, seq)) as "close", count(*)::double as volume from t group by 1, 2
+having cast(ts as date) + interval 1 day <= (select max(ts) - interval 3 day from t)""")
+def x01_daily_bars_stream(spark, d):
+    """A continuous aggregate of daily bars; the last three days are still open. Prices are orders by status."""
+    o = _stream(spark, d, "orders")
+    return run_to_end(daily_bars_stream(o.select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"))))
+
+
+@query("select event_id, user_id from events")
+def x03_idempotent_stream(spark, d):
+    """Every event delivered twice counts once."""
+    e = _stream(spark, d, "events")
+    return run_to_end(first_of_key(e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again"), ["event_id"]).select("event_id", "user_id"))
+
+
+@query("""with l as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 24 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
+ s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from l)
+select user_id, min(ts) as started, max(ts) as last_active, count(*) as turns from s group by user_id, k having max(ts) + interval 24 hour <= (select max(ts) - interval 1 hour from events)""")
+def x04_sessions(spark, d):
+    x = run_to_end(sessions(_stream(spark, d, "events")))
+    return x.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_active").cast("timestamp_ntz").alias("last_active"), "turns")
+
+
+@query("""with w as (select user_id, time_bucket(interval 10 second, ts) - interval 10 second * k as start from events, range(0, 6) t(k))
+select user_id, start, count(*) as n, count(*) > 100 as limited from w group by 1, 2 having start + interval 60 second <= (select max(ts) - interval 1 minute from events)""")
+def x05_request_counts(spark, d):
+    x = run_to_end(request_counts(_stream(spark, d, "events")))
+    return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
