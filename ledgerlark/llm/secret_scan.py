@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +44,10 @@ anticonstitutionnellement malheureusement particulierement developpement-durable
 version2_release_candidate1 table_name_2024_01_15 chapter12-section3-exercises utf8_general_case_insensitive sha256_file_checksum
 invoice_2023_customer_export column1_column2_column3 backup-2024-03-31-full-archive page_1_of_10_introduction mp4_video_encoder_h264
 ________________________________ -------------------------------- ================================ aaaaaaaaaaaaaaaaaaaaaaaa
-thththththereredingationinging enthatingerationtionedstandereshin leauxmentoirepaquetionelleieu schenverkeitungbergeheitlich
-cionquellasdomentearesgadaserria onandthingedereatlyhetionesblend ouionanthewhndtistereshaliretion eauxeneaumenttionairere
+telecommunications misunderstandings incomprehensibilities disproportionately electromagnetically institutionalisation
+Krankenversicherungsbeitrag Gesellschaftsvertrag Bundesverfassungsgericht Arbeitsgenehmigungsverfahren Wiederherstellungszeitpunkt
+gubernamentalmente contrarrevolucionario desproporcionadamente establecimientos descentralizaciones industrializaciones
+internationalisation approvisionnements constitutionnellement professionnellement desintegrations rafraichissements
 """.split()
 
 _ALPHABET = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")}
@@ -86,12 +90,13 @@ def find_secrets(text: str, ratios: list[list[float]], least: float = -0.3) -> l
     for a, b in runs:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text, a, b)]
-    base = list(found)
+    # of the spans that start before a run's end, the furthest end tells whether any meets it
+    base = sorted((s, e) for s, e, _ in found)
+    starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for a, b in runs:
-        token = text[a:b].rstrip("=")
-        if len(token) >= 20 and not any(s < b and a < e for s, e, _ in base) and any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-            if log_ratio(token, ratios) >= least:
-                found.append((a, b, 3))
+        token, before = text[a:b].rstrip("="), bisect_left(starts, b)
+        if len(token) >= 20 and not (before and ends[before - 1] > a) and log_ratio(token, ratios) >= least:
+            found.append((a, b, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
@@ -99,8 +104,7 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Secrets in every whole text.
 
     Three patterns (assignments, access keys, long hex runs) give the base spans. The
-    rest of the tokens of 20 characters or more of the key alphabet that hold letters
-    and digits are scored by two first-order Markov models, one of random strings and
+    rest of the tokens of 20 characters or more of the key alphabet are scored by two first-order Markov models, one of random strings and
     one of ordinary identifiers, trained on labelled samples (``labelled`` adds pairs of
     token and label, 1 for random); a mean log-likelihood ratio of ``least`` or more makes
     a span of kind ``random``. Spans count code points, end exclusive.
