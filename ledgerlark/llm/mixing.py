@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 #: Words as the contract counts them: runs of anything but space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Multipliers of the block order: primes, so that one of them is coprime to any number of blocks.
-_STEPS = (1_000_003, 1_000_033, 1_000_037)
+#: Shards of the mix, each of which has its own quota of every source's blocks.
+SHARDS = 16
+
+
+def _steps(n: int = 8) -> tuple[int, ...]:
+    """Multipliers of the block order: primes far apart, of which one is coprime to and far from a multiple of any number of blocks."""
+    out = []
+    for k in range(n):
+        p = int(1_000_000 * 1.618034**k) | 1
+        while any(p % q == 0 for q in range(3, int(p**0.5) + 1, 2)):
+            p += 2
+        out.append(p)
+    return tuple(out)
+
+
+_STEPS = _steps()
 
 
 def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, n_cells: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -71,60 +85,72 @@ def quotas(targets: DataFrame, shards: int = 16, most: float = 3.0) -> DataFrame
     return t.join(steps, ["shard", "rank"], "left").select("src", "none", "rank", "shard", (F.col("q") + F.coalesce("fix", F.lit(0))).alias("upto"))
 
 
-def _laid_out(df: DataFrame, id_col: str, text_col: str, source_col: str, n_cells: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def _laid_out(df: DataFrame, id_col: str, text_col: str, source_col: str, n_cells: int | None, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row with its span on its source's line of words, and its source's quota."""
+    n_cells = n_cells or max(256, -(-df.count() // 50_000))
     rows = _placed(df, id_col, text_col, source_col, n_cells, seed, keep)
     cells = _placed(df, id_col, text_col, source_col, n_cells, seed).groupBy("src", "none", "cell").agg(F.sum("size").alias("cell_words"))
     targets = source_targets(cells.groupBy("src", "none").agg(F.sum("cell_words").alias("words")))
-    quota = quotas(targets, 1).select("rank", F.col("upto").alias("quota"))
-    plan = targets.join(quota, "rank", "left").select("src", "none", "words", "target", "block", "blocks", F.coalesce("quota", F.lit(0)).alias("quota"))
+    cuts = F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"])  # SHARDS entries
+    quota = quotas(targets, SHARDS).groupBy("rank").agg(cuts.alias("cuts"))
+    plan = targets.join(quota, "rank", "left").withColumn("cuts", F.coalesce("cuts", F.array_repeat(F.lit(0).cast("bigint"), SHARDS)))
+    plan = plan.select("src", "none", "words", "target", "block", "blocks", "cuts", F.element_at("cuts", -1).alias("quota"))
     before = Window.partitionBy("src", "none").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_words").over(before), F.lit(0))).join(plan, ["src", "none"])
     inside = Window.partitionBy("src", "none", "cell").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["src", "none", "cell"])
     out = out.withColumn("start", F.col("cell_start") + F.col("inside")).withColumn("b", F.greatest("blocks", F.lit(1)))
-    step = F.lit(_STEPS[-1])
-    for p in reversed(_STEPS[:-1]):
-        step = F.when(F.col("b") % p != 0, F.lit(p)).otherwise(step)
+    turn = seed % len(_STEPS)
+    order, b = (*_STEPS[turn:], *_STEPS[:turn]), F.col("b")
+    step = F.when(F.lit(False), 1)
+    for far in (True, False):  # the first that is no near multiple of b, else any coprime one
+        for p in order:
+            step = step.when((b % p != 0) & ((F.lit(p) % b / b).between(0.15, 0.85) if far else F.lit(True)), p)
     return out.withColumn("step", step.cast("bigint")).withColumn("shift", F.pmod(F.xxhash64("src", "none", F.lit(seed)), F.col("b"))).withColumn("epochs", F.expr("quota div b")).withColumn("rest", F.expr("quota % b"))
 
 
 #: Whether the partial epoch takes block k: the first ``rest`` places of a seeded order of the source's blocks.
 _TAKES = "pmod(k * step + shift, b) < rest"
+#: Words of a document in each shard. A block has a place in the seeded order of every round; shards take the places in turn, each its quota.
+_SHARD_WORDS = f"""transform(flatten(transform(if(size > 0 and quota > 0, sequence(start div block, (start + size - 1) div block), array()),
+ k -> transform(filter(sequence(0, 3), e -> e * b + pmod(k * step + shift, b) < quota),
+ e -> struct(size(filter(cuts, c -> c <= e * b + pmod(k * step + shift, b))) as s, least(start + size, (k + 1) * block) - greatest(start, k * block) as n)))), x -> x)"""
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_cells: int = 256, seed: int = 17) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_cells: int | None = None, seed: int = 17) -> DataFrame:
     """Words that a mix of the sources takes from each document.
 
     Each source's documents, in a seeded order, form a line of words that is cut into
-    equal blocks. Sainte-Laguë gives each source an integer number of blocks; a source
+    equal blocks. Sainte-Laguë gives each source an integer number of blocks in each of
+    ``SHARDS`` shards; the shards take them one after another from the source's seeded order of blocks; a source
     whose quota is over its own blocks goes round again, at most three times; the blocks
     of the last, partial round are the first of a seeded order. A document's ``taken``
     is the number of its words in taken blocks, repeats counted.
 
-    The line is laid out by cells of a hash, so a source of any size is ordered by many
+    The line is laid out by cells of a hash (256, or one for 50,000 rows), so a source of any size is ordered by many
     tasks and a third of all rows in one source is no hot spot. Sums by source and cell
     are the only state; the number of sources is taken to be that of a dimension table.
 
-    Returns ``id_col``, ``size``, ``source_size``, ``target``, ``taken``, ``source``
-    (name as in the input). Null texts have no words; null sources are one source, last
+    Returns ``id_col``, ``size``, ``source_size``, ``target``, ``taken``, ``shard_words`` (of
+    these, the words in each shard), ``source`` (name as in the input). Null texts have no words; null sources are one source, last
     in order; null ids are placed by their text. Equal rows are placed side by side.
     Reruns agree. An empty table gives no rows; sources without words have target 0.
     """
     rows = _laid_out(df, id_col, text_col, source_col, n_cells, seed)
     blocks = "sequence(start div block, (start + size - 1) div block)"
     part = F.expr(f"if(size > 0 and rest > 0, aggregate({blocks}, 0L, (a, k) -> a + if({_TAKES}, least(start + size, (k + 1) * block) - greatest(start, k * block), 0L)), 0L)")
-    return rows.select(
+    return rows.withColumn("in_shards", F.expr(_SHARD_WORDS)).select(
         F.col("id").alias(id_col),
         "size",
         F.col("words").alias("source_size"),
         F.col("target").cast("double").alias("target"),
         (F.col("epochs") * F.col("size") + part).alias("taken"),
+        F.expr(f"transform(sequence(0, {SHARDS - 1}), s -> aggregate(filter(in_shards, x -> x.s = s), 0L, (a, x) -> a + x.n))").alias("shard_words"),
         F.expr("if(none, null, src)").alias("source"),
     )
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_cells: int = 256, seed: int = 17) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_cells: int | None = None, seed: int = 17) -> DataFrame:
     """The documents of the mix, with the columns of ``df``: each full round of a source gives its documents whole, the partial round the words of its taken blocks."""
     rest = tuple(c for c in df.columns if c not in (id_col, source_col))
     rows = _laid_out(df, id_col, text_col, source_col, n_cells, seed, rest)
