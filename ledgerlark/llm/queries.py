@@ -35,9 +35,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from ._common import shared_folder
     from .slots import shard
 
-    return shard(_read(spark, sf_dir, "documents"), 24)
+    return shard(_read(spark, sf_dir, "documents"), 24, map_path=f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

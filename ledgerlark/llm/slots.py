@@ -92,11 +92,28 @@ def slot_sizes(slotted: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
     return size, rows
 
 
-def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = 4096, slot_map: SlotMap | None = None) -> DataFrame:
+def current_map(spark: SparkSession, path: str, size: list[int], n_shards: int, slack: float) -> SlotMap:
+    """The stored map's latest version if its shards' bytes are within ``slack`` of each other's mean; else an edited next version, which is stored. Without a stored map the first version deals the slots out."""
+    sc = spark.sparkContext
+    mark = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(sc._jsc.hadoopConfiguration()).exists(mark):
+        balanced_map([1] * len(size), n_shards).save(spark, path)
+    stored = SlotMap.load(spark, path)
+    load = [0] * n_shards
+    for slot, k in enumerate(stored.shards):
+        load[k % n_shards] += size[slot]
+    if stored.n_shards != n_shards or max(load) > sum(load) / n_shards * (1 + slack):
+        stored.rebalanced(size, n_shards, slack).save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = 4096, slot_map: SlotMap | None = None, map_path: str | None = None, slack: float = 0.001) -> DataFrame:
     """Each row's shard under the law ``bytes``: shards of nearly equal bytes.
 
     Ids are hashed into ``n_slots`` virtual slots; bytes are summed by slot; slots are
-    dealt to shards by a map, built here or given (a stored version, perhaps rebalanced).
+    dealt to shards by a map: a given one (its length is then the number of slots), or the
+    one stored at ``map_path``, which is loaded, edited where shards have drifted apart by more than
+    ``slack``, and stored as its next version, or else one built here.
     Returns ``id_col``, ``size`` (UTF-8 bytes plus 8), ``text_crc32``, ``law``,
     ``shard``, ``slot`` (the row's place in its shard, gapless from 0), ``grown_shard``
     (null under this law) and ``vslot``.
@@ -106,9 +123,11 @@ def shard(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: s
     rows with null ids are dealt by their texts' checksums. Repeated rows each get a
     place. Other columns are left out. An empty table gives no rows.
     """
+    n_slots = len(slot_map.shards) if slot_map else n_slots
     slotted = with_slots(df, id_col, text_col, n_slots)
     size, rows = slot_sizes(slotted, n_slots)
-    slot_map = slot_map or balanced_map(size, n_shards)
+    if slot_map is None:
+        slot_map = current_map(df.sparkSession, map_path, size, n_shards, slack) if map_path else balanced_map(size, n_shards)
     first, filled = [0] * n_slots, [0] * slot_map.n_shards
     for s, k in enumerate(slot_map.shards):
         first[s], filled[k] = filled[k], filled[k] + rows[s]
