@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +39,14 @@ _TAG = re.compile(
     % ("|".join(_SILENT), "|".join(sorted(_BLOCK))),
     re.S | re.I,
 )
+# Elements that end an open p, and for those whose end tag may be left out what they end, and within which.
+_ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+_P_WITHIN = set("table caption td th button object".split())
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    **{x: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for x in ("thead", "tbody", "tfoot")},
+}
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|data-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"[\s\x00]+")
 
@@ -59,9 +68,26 @@ def blocks_of(page: str) -> list[Block]:
     text: list[str] = []
     # (element, marked as aside, in the article, label)
     stack: list[tuple[str, bool, bool, int | None]] = [("", False, False, None)]
+    opened: Counter[str] = Counter()  # how many of each element are open, so that no search runs for nothing
     links = linked = 0
     head = False
 
+    def end(names: set[str], within: set[str]) -> None:
+        """End the nearest open element of ``names`` that stands in no nearer element of ``within``, those of ``names`` directly around it, and all inside them."""
+        if not any(opened[x] for x in names):
+            return
+        at = None
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in within:
+                break
+            if stack[k][0] in names:
+                at = k
+            elif at is not None:
+                break
+        if at is not None:
+            opened.subtract(x[0] for x in stack[at:])
+            del stack[at:]
+
     def flush():
         nonlocal text, linked, head
         if text:
@@ -90,11 +116,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         head = head or (name in ("h1", "h2", "h3", "h4", "h5", "h6") and not m[2])
+        if not m[2]:
+            if name in _ENDS_P:
+                end({"p"}, _P_WITHIN)
+            if name in _ENDS:
+                end(*_ENDS[name])
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                opened.subtract(x[0] for x in stack[k:])
+                del stack[k:]
         elif name not in _VOID and name != "head" and not m[4].endswith("/"):
             _, aside, main, label = stack[-1]
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[4])}
@@ -103,8 +134,7 @@ def blocks_of(page: str) -> list[Block]:
             aside = aside or name in _ASIDE or (name == "header" and not main) or hidden or (name not in ("html", "body", "main") and bool(_ASIDE_WORD.search(marks)))
             main = main or name in _MAIN or bool(_MAIN_WORD.search(marks))
             stack.append((name, aside, main, int(attrs["data-label"]) if "data-label" in attrs else label))
-            if name == "p" and len(stack) > 2 and stack[-2][0] == "p":  # a paragraph ends the one before it
-                stack[-2:] = [stack[-1]]
+            opened[name] += 1
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     flush()
@@ -152,6 +182,17 @@ LABELLED_PAGES = [
     _page("", [(1, f"<article><p>{_LONG}</p><p>So be it.</p></article>"), (0, "<div><a href=b>Back to the start of the page</a></div>"), (0, "<div>Imprint</div>")]),
     _page("", [(1, f"<article><p><a href=c>A plan</a></p><p>{_MID}</p><p><a href=d>Another plan that was dropped</a> too.</p></article>"), (0, f"<div><a href=e>Archive of all plans by year and by town</a></div>")]),
     _page("", [(0, f"<div>{_MID}</div>"), (1, f"<article><p>{_LONG}</p><p>No.</p></article>"), (0, f"<div>{_LONG}</div>")]),
+    # without a landmark the neighbours tell: a short block between long ones is the article's, one between links or at the edge is not
+    _page("", [(0, "<div><a href=a>Front</a></div>"), (0, "<div>Tuesday edition</div>"), (1, f"<div><p>{_LONG}</p><p>Why now?</p><p>{_LONG}</p><p>The vote was close.</p><p>{_LONG} {_MID}</p></div>"), (0, "<div>Printed in town</div>"), (0, "<div><a href=b>Back</a></div>")]),
+    _page("", [(0, "<div>Our offers</div>"), (0, "<div><a href=a>Boats</a> <a href=b>Bridges</a> <a href=c>Ferries</a></div>"), (0, "<div>Pick one</div>"), (0, "<div><a href=d>All about boats and bridges and other ways to cross a river</a></div>"), (1, f"<div><p>{_LONG}</p><p>It did not.</p><p>{_LONG}</p></div>"), (0, "<div>Next up</div>"), (0, "<div><a href=e>The ferry that came too late for the fair</a></div>")]),
+    _page("", [(1, f"<div><p>{_LONG} {_LONG}</p><p>So it went.</p><p>Then came the rain.</p><p>{_LONG}</p></div>"), (0, "<div>You are reader number nine</div>"), (0, "<div><a href=a>Up</a></div>")]),
+    _page("", [(0, "<div><a href=a>Home</a></div>"), (0, "<div>Weather: fair</div>"), (0, "<div><a href=b>Sport</a></div>"), (0, "<div>Ferry: on time</div>"), (0, "<div><a href=c>Trade</a></div>"), (1, f"<div><p>{_MID} {_MID}</p><p>Few came.</p><p>{_LONG}</p></div>")]),
+]
+# Where a page has a landmark, the same blocks outside it are not the article.
+LABELLED_PAGES += [
+    p.replace('data-label="1"', 'data-label="0"').replace("<body>", f'<body><article data-label="1"><p>{_LONG}</p><p>{_MID}</p></article>')
+    for p in LABELLED_PAGES
+    if "<article" not in p and "<main" not in p
 ]
 
 

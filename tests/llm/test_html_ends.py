@@ -35,3 +35,36 @@ def test_ends(page, want):
 def test_an_open_head_is_not_an_aside():
     (b,) = blocks_of("<head class=ad><title>t</title><p>one")
     assert not b.aside
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p class=ad>Buy<div>the article</div>", [("Buy", True), ("the article", False)]),
+        ("<ul><li class=promo>Buy<li>the article</ul>", [("Buy", True), ("the article", False)]),
+        ("<dl><dt class=ad>Buy<dd>the article</dl>", [("Buy", True), ("the article", False)]),
+        ("<table><tr><td class=ad>Buy<td>the article<tr><td>and more</table>", [("Buy", True), ("the article", False), ("and more", False)]),
+        ("<table><thead class=ad><tr><td>Buy<tbody><tr><td>the article</table>", [("Buy", True), ("the article", False)]),
+        ("<ul><li class=promo>Buy<ul><li>inside</ul><li>the article</ul>", [("Buy", True), ("inside", True), ("the article", False)]),
+        ("<p class=ad>Buy<table><tr><td><p>inside</table><p>the article", [("Buy", True), ("inside", False), ("the article", False)]),
+    ],
+)
+def test_implied_ends(page, want):
+    assert [(b.text, b.aside) for b in blocks_of(page)] == want
+
+
+def test_the_tree_looks_at_neighbours_and_deep_pages_take_linear_time():
+    import time
+
+    from ledgerlark.llm import html_text
+
+    def used(node):
+        return set() if isinstance(node, int) else {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    assert used(html_text.tree()) & {"words_before", "link_density_before", "words_after", "link_density_after"}
+    seconds = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert len(blocks_of("<div><p>x" * n)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * seconds[0] + 0.2
