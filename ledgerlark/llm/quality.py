@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Random Fourier features (``waves`` of them, Gaussian kernel of ``width`` standard
     deviations) of the documents' statistics; each partition sums its part of the normal
-    equations, a few tasks sum the parts, and the driver solves one system of ``waves`` + 1
+    equations, the parts are summed in levels, and the driver solves one system of ``waves`` + 1
     unknowns. Scores of fold 3, counted in ``bins`` bins, are calibrated by isotonic
     regression. A document with several labels has their mean; null labels are left out.
     """
@@ -152,8 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 a += np.frombuffer(part.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["part"])
 
-    fits = rows.where("fold != 3").select("x", "y").mapInArrow(equations, "part binary").repartition(4).mapInArrow(added, "part binary")
-    a = sum(np.frombuffer(r.part).reshape(size, size + 1) for r in fits.collect())  # four matrices
+    fits, tasks = rows.where("fold != 3").select("x", "y").mapInArrow(equations, "part binary"), rows.rdd.getNumPartitions()
+    while tasks > 16:  # sums of at most 16 matrices a task, level by level
+        tasks = -(-tasks // 16)
+        fits = fits.repartition(tasks).mapInArrow(added, "part binary")
+    a = sum(np.frombuffer(r.part).reshape(size, size + 1) for r in fits.collect())  # at most 16 matrices
     n = max(a[-1, size - 1], 1)
     penalty = np.full(size, ridge)
     penalty[-1] = 1e-9

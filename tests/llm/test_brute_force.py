@@ -247,6 +247,28 @@ def test_quality_on_held_out_labels(spark):
     assert (bad[:, None] < good).mean() + (bad[:, None] == good).mean() / 2 > 0.97
 
 
+def test_quality_fit_equals_a_dense_one(spark):
+    from ledgerlark.llm import quality
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefg!1"), rng.integers(1, 9))) for _ in range(rng.integers(3, 60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    labels = {i: int("!" not in t[:40]) for i, t in enumerate(texts)}
+    table = lambda y: spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    model = quality.fit(docs, table(labels), waves=16)
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in labels}
+    x = np.array([quality.statistics(t) for t in texts])
+    use = [i for i in labels if fold[i] != 2]
+    assert np.allclose(model.mean, x[use].mean(0)) and np.allclose(model.spread, np.maximum(x[use].std(0), 1e-6))
+    fits = [i for i in use if fold[i] != 3]
+    z, y = model.waves_of(x[fits]), np.array([labels[i] for i in fits], float)
+    penalty = np.diag([*[1e-3] * 16, 1e-9])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z / len(z) + penalty, z.T @ y / len(z)), atol=1e-6)
+    # labels of the held-out fold change nothing
+    other = quality.fit(docs, table({i: y if fold[i] != 2 else 1 - y for i, y in labels.items()}), waves=16)
+    assert np.allclose(other.score(x), model.score(x))
+
+
 def test_isotonic():
     from ledgerlark.llm.quality import rising
 
