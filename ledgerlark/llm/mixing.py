@@ -111,10 +111,20 @@ def _laid_out(df: DataFrame, id_col: str, text_col: str, source_col: str, n_cell
 
 #: Whether the partial epoch takes block k: the first ``rest`` places of a seeded order of the source's blocks.
 _TAKES = "pmod(k * step + shift, b) < rest"
-#: Words of a document in each shard. A block has a place in the seeded order of every round; shards take the places in turn, each its quota.
-_SHARD_WORDS = f"""transform(flatten(transform(if(size > 0 and quota > 0, sequence(start div block, (start + size - 1) div block), array()),
- k -> transform(filter(sequence(0, 3), e -> e * b + pmod(k * step + shift, b) < quota),
- e -> struct(size(filter(cuts, c -> c <= e * b + pmod(k * step + shift, b))) as s, least(start + size, (k + 1) * block) - greatest(start, k * block) as n)))), x -> x)"""
+
+
+def _shard_of(place: str, low: int = 0, high: int = SHARDS - 1) -> str:
+    """The shard that takes a place in the seeded order: a search of the shards' last places."""
+    if low == high:
+        return str(low)
+    mid = (low + high) // 2
+    return f"if({place} < cuts[{mid}], {_shard_of(place, low, mid)}, {_shard_of(place, mid + 1, high)})"
+
+
+#: A document's taken words by block and round, with their shards. A block has a place in the seeded order of every round; shards take the places in turn, each its quota.
+_SHARD_WORDS = f"""flatten(transform(if(size > 0 and quota > 0, sequence(start div block, (start + size - 1) div block), array()),
+ k -> transform(filter(transform(sequence(0L, epochs), e -> e * b + pmod(k * step + shift, b)), t -> t < quota),
+ t -> struct({_shard_of('t')} as shard, least(start + size, (k + 1) * block) - greatest(start, k * block) as words))))"""
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_cells: int | None = None, seed: int = 17) -> DataFrame:
@@ -131,21 +141,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     tasks and a third of all rows in one source is no hot spot. Sums by source and cell
     are the only state; the number of sources is taken to be that of a dimension table.
 
-    Returns ``id_col``, ``size``, ``source_size``, ``target``, ``taken``, ``shard_words`` (of
-    these, the words in each shard), ``source`` (name as in the input). Null texts have no words; null sources are one source, last
+    Returns ``id_col``, ``size``, ``source_size``, ``target``, ``taken``, ``shard_words`` (these
+    by block and round, each with its shard), ``source`` (name as in the input). Null texts have no words; null sources are one source, last
     in order; null ids are placed by their text. Equal rows are placed side by side.
     Reruns agree. An empty table gives no rows; sources without words have target 0.
     """
     rows = _laid_out(df, id_col, text_col, source_col, n_cells, seed)
     blocks = "sequence(start div block, (start + size - 1) div block)"
     part = F.expr(f"if(size > 0 and rest > 0, aggregate({blocks}, 0L, (a, k) -> a + if({_TAKES}, least(start + size, (k + 1) * block) - greatest(start, k * block), 0L)), 0L)")
-    return rows.withColumn("in_shards", F.expr(_SHARD_WORDS)).select(
+    return rows.select(
         F.col("id").alias(id_col),
         "size",
         F.col("words").alias("source_size"),
         F.col("target").cast("double").alias("target"),
         (F.col("epochs") * F.col("size") + part).alias("taken"),
-        F.expr(f"transform(sequence(0, {SHARDS - 1}), s -> aggregate(filter(in_shards, x -> x.s = s), 0L, (a, x) -> a + x.n))").alias("shard_words"),
+        F.expr(_SHARD_WORDS).alias("shard_words"),
         F.expr("if(none, null, src)").alias("source"),
     )
 

@@ -148,8 +148,8 @@ def test_mixing(spark, docs):
     for s, x in got.groupby("source"):
         assert x.source_size.nunique() == 1 and x.source_size.iloc[0] == size[s] and abs(x.target.iloc[0] - target[s]) < 1e-6 * target[s]
         assert abs(x.taken.sum() - target[s]) < 0.02 * target[s]
-    assert (got.taken <= 3 * got["size"]).all() and all(sum(w) == n for w, n in zip(got.shard_words, got.taken))
-    shards = np.sum(got.shard_words.tolist(), 0)  # quotas are of blocks of one size, so the shards are alike
+    assert (got.taken <= 3 * got["size"]).all() and all(sum(w["words"] for w in x) == n for x, n in zip(got.shard_words, got.taken))
+    shards = np.bincount([w["shard"] for x in got.shard_words for w in x], [w["words"] for x in got.shard_words for w in x])  # quotas are of blocks of one size, so the shards are alike
     assert len(shards) == 16 and shards.max() - shards.min() < 0.1 * shards.mean()
     again = queries.op6_mixing(spark, D).toPandas()
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
