@@ -108,10 +108,10 @@ def j06_sector_lookup(spark, d):
     return X.table(spark, d, "part").join(X.sectors(spark, d).where("symbol < 'Brand#4'"), F.col("p_brand") == F.col("symbol"), "left").select("p_partkey", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"))
 
 
-@query(f"with {X.WEIGHTS}, s(scenario, shock) as (values ('crash', -35.0::double), ('correction', -10.0), ('panic', -15.0)) select portfolio, symbol, scenario, round(weight * shock, 6) as impact from weights, s")
+@query(f"with {X.WEIGHTS}, s(scenario, shock) as (values ('crash', -35.0::double), ('correction', -10.0), ('panic', -15.0)) select portfolio, symbol, scenario, round(weight * shock, 9) as impact from weights, s")
 def j07_scenarios_by_holding(spark, d):
     shocks = F.create_map(*(F.lit(v) for kv in (("crash", -35.0), ("correction", -10.0), ("panic", -15.0)) for v in kv))
-    return X.weights(spark, d).select("portfolio", "symbol", F.explode(shocks).alias("scenario", "shock"), "weight").select("portfolio", "symbol", "scenario", F.round(F.col("weight") * F.col("shock"), 6).alias("impact"))
+    return X.weights(spark, d).select("portfolio", "symbol", F.explode(shocks).alias("scenario", "shock"), "weight").select("portfolio", "symbol", "scenario", F.round(F.col("weight") * F.col("shock"), 9).alias("impact"))
 
 
 @query(f"with {X.RETURNS} select a.symbol as a, b.symbol as b, count(*) as days, round(avg(abs(a.ret - b.ret)), 8) as gap from returns a join returns b on a.d = b.d and a.symbol < b.symbol group by 1, 2")
