@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerlark.plans import market, monitoring, news, operations, planning, risk, stores, texts  # noqa: F401
+from ledgerlark.plans import market, monitoring, news, operations, planning, risk, stores, texts, trading  # noqa: F401
 from ledgerlark.plans.registry import ORACLES, QUERIES  # noqa: F401
