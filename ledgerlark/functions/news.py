@@ -60,6 +60,14 @@ TOPICS = (
     r"(?i)\b(?:tax|deduction|section \w[\w()]*|gst|insurance|mutual fund|fd|ppf|nps|sip|loan|emi|home loan|car loan|education loan|retirement|pension|salary|income|investment|savings|ltcg|stcg|capital gain|nifty|sensex"
     r"|equity|debt|bond|fixed deposit|recurring deposit|gold|real estate|crypto|elss|ulip)\b"
 )
+ASPECTS = ["revenue", "earnings", "profit", "growth", "risk", "debt", "cash flow", "dividend", "valuation", "innovation", "regulation", "market share", "guidance", "outlook", "demand"]
+CHUNKINGS = {
+    "news": "news_article market_commentary".split(),
+    "financial_report": "annual_report quarterly_report research_report earnings_transcript sec_filing nse_filing regulatory_filing".split(),
+}
+#: Start, and what is added for data, for results of tools, for context and for a disclaimer.
+CONFIDENCES = {"market_analyst": (0.65, 0.10, 0.10, 0.05, 0.05), "risk_analyst": (0.70, 0.10, 0.10, 0.05, 0.0), "portfolio_manager": (0.65, 0.15, 0.10, 0.0, 0.05)}
+DISCLAIMERS = {"market_analyst": "not investment advice;past performance;do your own research", "risk_analyst": "", "portfolio_manager": "not investment advice;past performance;consult your financial advisor;do your own research"}
 # End of fixed values.
 
 TICKER_PATTERN = r"(?i)\b(" + "|".join(TICKERS) + r")\b"
@@ -181,3 +189,30 @@ def highlight(text: Column, terms: Sequence[str], most: int = 250) -> Column:
     first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.length(best) + 1) - 1 if places else F.length(best)
     window = F.substring(best, F.greatest(F.lit(0), first - 50) + 1, F.lit(most))
     return F.when(F.length(best) > most, F.concat(F.lit("..."), window, F.lit("..."))).otherwise(best)
+
+
+def aspects(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``aspect``, ``n_sentences`` and ``combined`` for each aspect that a text's sentences mention (a word that begins with it); null texts have none."""
+    sentences = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    mention = lambda a: lambda s: s.rlike(rf"(?i)\b({a}[a-z]*)\b")
+    about = [F.struct(F.lit(a).alias("aspect"), F.filter("_s", mention(a)).alias("found")) for a in ASPECTS]
+    x = df.select(key, sentences.alias("_s")).select(key, F.inline(F.array(*about))).where(F.size("found") > 0)
+    return x.select(key, "aspect", F.size("found").cast("bigint").alias("n_sentences"), F.array_join(F.transform("found", _stripped), " ").alias("combined"))
+
+
+def chunking(kind: Column, default: str = "recursive") -> Column:
+    """The way to cut a document of a kind."""
+    out = F.when(F.lit(False), default)
+    for way, kinds in CHUNKINGS.items():
+        out = out.when(kind.isin(*kinds), way)
+    return out.otherwise(default)
+
+
+def confidence(agent: str, text: Column, data: Column, tools: Column, context: Column) -> Column:
+    """Confidence in an agent's answer, 0 to 1: a start and a gain for each sign of support; texts over 300 characters gain 0.05."""
+    start, *gains = CONFIDENCES[agent]
+    warned = F.lit(False)
+    for phrase in filter(None, DISCLAIMERS[agent].split(";")):
+        warned = warned | F.contains(F.lower(text), F.lit(phrase))
+    signs = [*zip((data, tools, context, warned), gains), (F.length(text) > 300, 0.05)]
+    return F.round(F.least(F.lit(1.0), sum((F.when(sign, gain).otherwise(0.0) for sign, gain in signs), F.lit(start))), 2)

@@ -167,3 +167,35 @@ def trailing_positive_streak(df: DataFrame, value: str) -> DataFrame:
     return df.join(bad, "symbol").groupBy("symbol").agg(
         F.sum(value).alias("total"), F.avg(value).alias("mean"), F.count_if(F.col(value) > 0).alias("positive_days"), F.count_if(F.col("bad").isNull() | (F.col("d") > F.col("bad"))).alias("streak")
     )
+
+
+def last_ema_weight(i: Column, n: Column, period: int) -> Column:
+    """Weight of the ``i``-th of ``n`` values in the last EMA that is seeded by the mean of the first ``period``: the EMA is then a plain sum."""
+    a = 2.0 / (period + 1)
+    return F.when(i < period, F.pow(F.lit(1 - a), F.greatest(n - period, F.lit(0))) / period).otherwise(a * F.pow(F.lit(1 - a), n - 1 - i))
+
+
+def macd_weights(width: int = 26, fast: int = 12, slow: int = 26) -> list[float]:
+    """Weights of a window's values in the difference of two EMAs that are seeded anew in each window."""
+
+    def weights(p: int) -> list[float]:
+        a = 2.0 / (p + 1)
+        return [(1 - a) ** max(width - p, 0) / p if i < p else a * (1 - a) ** (width - 1 - i) for i in range(width)]
+
+    return [f - s for f, s in zip(weights(fast), weights(slow))]
+
+
+def macd_reseeded(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Last MACD of each symbol (``symbol``, ``d``, ``close``), its signal over MACDs of windows of ``slow`` days that are each seeded anew, and what they say.
+
+    Every EMA is a weighted sum, so that a symbol's series is summed and not folded. Up to ``slow`` days there is no window, and the signal is the line.
+    """
+    by = Window.partitionBy("symbol").orderBy("d")
+    x = df.select("symbol", "close", (F.row_number().over(by) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"), F.collect_list("close").over(by.rowsBetween(1 - slow, 0)).alias("last"))
+    c = F.array(*map(F.lit, macd_weights(slow, fast, slow)))
+    dot = F.aggregate(F.zip_with("last", c, lambda v, k: v * k), F.lit(0.0), lambda s, v: s + v)
+    line = F.sum(F.col("close") * (last_ema_weight(F.col("i"), F.col("n"), fast) - last_ema_weight(F.col("i"), F.col("n"), slow)))
+    later = F.sum(F.when(F.col("i") >= slow, dot * last_ema_weight(F.col("i") - slow, F.col("n") - slow, signal)))
+    g = x.groupBy("symbol").agg(line.alias("macd_line"), later.alias("signal_line"))
+    g = g.withColumn("signal_line", F.coalesce("signal_line", "macd_line")).withColumn("histogram", F.col("macd_line") - F.col("signal_line"))
+    return g.withColumn("signal", F.when(F.col("histogram") > 0, "bullish").otherwise("bearish"))

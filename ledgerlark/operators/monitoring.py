@@ -137,3 +137,24 @@ def degradation_alerts(changes: DataFrame) -> DataFrame:
     rules = F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("sign"), F.lit(t).alias("threshold")) for p, s, t in ALERTS))
     x = changes.withColumn("rule", F.explode(rules)).where(F.startswith("metric", F.col("rule.prefix")) & (F.col("change") * F.col("rule.sign") > F.col("rule.threshold")))
     return x.select(*changes.columns, F.col("rule.threshold").alias("threshold"), F.when(F.col("rule.sign") > 0, "increased").otherwise("decreased").alias("direction"))
+
+
+#: What calls for training a model again.
+RETRAINING = {"drift_severity": ("high", "critical"), "performance_drop_pct": 10.0, "days_since_last_retrain": 30, "num_predictions": 10_000}
+
+
+def retraining_decisions(models: DataFrame, as_of: str) -> DataFrame:
+    """Whether each model is to be trained again, and why.
+
+    ``models``: ``drift_severity``, ``performance_drop`` (a share), ``last_retrained`` (a date), ``predictions`` since then. A null is no
+    reason; a model that was never trained has -1 days.
+    """
+    days = F.date_diff(F.lit(as_of).cast("date"), F.col("last_retrained"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("drift_severity").isin(*RETRAINING["drift_severity"]), F.concat(F.lit("drift severity: "), F.col("drift_severity"))),
+        F.when(F.col("performance_drop") > RETRAINING["performance_drop_pct"] / 100, F.format_string("performance drop: %.1f%%", F.col("performance_drop") * 100)),
+        F.when(days > RETRAINING["days_since_last_retrain"], F.concat(F.lit("days since retrain: "), days.cast("string"), F.lit(f" > {RETRAINING['days_since_last_retrain']}"))),
+        F.when(F.col("predictions") > RETRAINING["num_predictions"], F.concat(F.lit("predictions since retrain: "), F.col("predictions").cast("string"), F.lit(f" > {RETRAINING['num_predictions']}"))),
+    ))
+    x = models.withColumn("days_since", F.coalesce(days, F.lit(-1))).withColumn("_why", reasons)
+    return x.withColumn("should_retrain", F.size("_why") > 0).withColumn("reason", F.when(F.size("_why") > 0, F.array_join("_why", "; ")).otherwise("No triggers met")).drop("_why")

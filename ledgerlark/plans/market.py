@@ -321,3 +321,18 @@ def o07_latest_events_per_user(spark, d):
 def w40_rate_limit(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-3600, 0)
     return X.table(spark, d, "events").select("event_id", F.count("*").over(w).alias("n"), (F.count("*").over(w) > 3).alias("limited"))
+
+
+def _ema_weight(i, n, p):
+    """Weight of the i-th of n values in the last EMA seeded by a mean, as SQL."""
+    a = 2.0 / (p + 1)
+    return f"case when {i} < {p} then pow({1 - a}::double, greatest({n} - {p}, 0)) / {p} else {a}::double * pow({1 - a}::double, {n} - 1 - {i}) end"
+
+
+@query(f"""with {X.BARS}, x as (select symbol, "close" as c, row_number() over (partition by symbol order by d) - 1 as i, count(*) over (partition by symbol) as n, list("close") over (partition by symbol order by d rows between 25 preceding and current row) as w from bars),
+ m as (select *, case when i >= 26 then list_dot_product(w, {I.macd_weights()}::double[]) end as m from x),
+ g as (select symbol, sum(c * ({_ema_weight('i', 'n', 12)} - {_ema_weight('i', 'n', 26)})) as line, sum(m * ({_ema_weight('(i - 26)', '(n - 26)', 9)})) as sig from m group by 1)
+select symbol, round(line, 4) as macd_line, round(coalesce(sig, line), 4) as signal_line, round(line - coalesce(sig, line), 4) as histogram, case when line > coalesce(sig, line) then 'bullish' else 'bearish' end as signal from g""")
+def w06_macd_reseeded(spark, d):
+    x = I.macd_reseeded(X.bars(spark, d))
+    return x.select("symbol", *(F.round(c, 4).alias(c) for c in ("macd_line", "signal_line", "histogram")), "signal")

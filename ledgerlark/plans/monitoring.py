@@ -227,3 +227,19 @@ def a14_sector_comparison(spark, d):
     better = F.when(F.col("metric").isin("pe", "pb", "debt_equity", "p_e", "p_b"), F.col("v")).otherwise(-F.col("v"))
     w = Window.partitionBy("metric")
     return u.select("sector", "metric", "v", F.round(F.avg("v").over(w), 5).alias("mean"), F.rank().over(w.orderBy(better)).cast("bigint").alias("rank"))
+
+
+@query("""with m as (select event_type as model, case when avg(value) > 20 then 'high' when avg(value) > 10 then 'critical' else 'low' end as drift_severity, round(abs(avg(value) filter (user_id % 2 = 0) / avg(value) - 1) * 4, 3) as performance_drop,
+ cast(min(ts) as date) as last_retrained, count(*) * 12 as predictions from events group by 1), w as (select *, date_diff('day', last_retrained, date '2024-01-31') as days_since,
+ list_filter([case when drift_severity in ('high', 'critical') then 'drift severity: ' || drift_severity end, case when performance_drop > 0.1 then printf('performance drop: %.1f%%', performance_drop * 100) end,
+ case when date_diff('day', last_retrained, date '2024-01-31') > 30 then 'days since retrain: ' || date_diff('day', last_retrained, date '2024-01-31') || ' > 30' end, case when predictions > 10000 then 'predictions since retrain: ' || predictions || ' > 10000' end], lambda x: x is not null) as why from m)
+select model, days_since::int as days_since, predictions, len(why) > 0 as should_retrain, case when len(why) > 0 then array_to_string(why, '; ') else 'No triggers met' end as reason from w""")
+def x10_retraining(spark, d):
+    """A kind of event as a model, each event as twelve predictions."""
+    v = F.col("value")
+    drift = F.when(F.avg(v) > 20, "high").when(F.avg(v) > 10, "critical").otherwise("low")
+    m = X.table(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(
+        drift.alias("drift_severity"), F.round(F.abs(F.avg(F.when(F.col("user_id") % 2 == 0, v)) / F.avg(v) - 1) * 4, 3).alias("performance_drop"),
+        F.min("ts").cast("date").alias("last_retrained"), (F.count("*") * 12).alias("predictions"),
+    )
+    return M.retraining_decisions(m, "2024-01-31").select("model", "days_since", "predictions", "should_retrain", "reason")

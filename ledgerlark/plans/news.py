@@ -14,6 +14,7 @@ from ledgerlark.plans.texts import _first, _hits, _list
 SUBJECTS = ["RBI", "TCS", "HDFC Bank", "Reliance", "infy", "SEBI", "A tyre maker", "SUNPHARMA and ITC"]
 VERBS = ["announces", "reports", "warns of", "considers", "halts", "beats estimates with"]
 NEWS = ["a rate cut", "strong quarterly results and a record high", "a fraud, a crash and a collapse", "a merger", "an IPO listing", "weak credit growth", "a green energy expansion", "new compliance rules", "the appointed CEO", "a routine meeting"]
+REMARKS = ["Profits rise on strong demand", "Debt is a concern, as is the loss of revenues", "The outlook stays stable", "Cash flows and dividends beat all", "Risky growth", "Nothing to add"]
 HEADS = ["How does PPF work", "What is the tax on a home loan", "Compare ELSS", "Is gold better", "Explain section 80C(2)", "Hello", ""]
 LINKS = [" and ", " vs. ", "  along with ", " versus ", ", ", "? "]
 TAILS = ["what is the premium of insurance?", "NPS", "fixed deposit rates", "a mutual fund SIP? Really?", "the weather"]
@@ -67,11 +68,17 @@ def t22_themes(spark, d):
     return N.themes(headlines(spark, d), "source", "text")
 
 
-_SCORED = f"""l as (select *, lower(text) as t from headlines), c as (select *, {', '.join(f'{_hits("t", w)} as {k}' for k, w in T.SENTIMENT_WORDS.items())} from l),
+def _sentiment(table):
+    """CTEs that end with ``s``: ``score`` and ``hits`` of the texts of a table."""
+    return f"""l as (select *, lower(text) as t from {table}), c as (select *, {', '.join(f'{_hits("t", w)} as {k}' for k, w in T.SENTIMENT_WORDS.items())} from l),
  h as (select *, {' + '.join(T.SENTIMENT_WORDS)} as hits, {' + '.join(f'({w}) * {k}' for k, w in T.SENTIMENT_WEIGHTS.items())} as net from c),
- s as (select *, round(case when hits > 0 then greatest(-1, least(1, net / hits / 2)) else 0 end, 9) as score from h),
+ s as (select *, round(case when hits > 0 then greatest(-1, least(1, net / hits / 2)) else 0 end, 9) as score from h)"""
+
+
+_LABEL = "case when hits = 0 then 'neutral' when score <= -0.6 then 'strongly_bearish' when score <= -0.2 then 'bearish' when score <= 0.2 then 'neutral' when score <= 0.6 then 'bullish' else 'strongly_bullish' end as label"
+_SCORED = f"""{_sentiment('headlines')},
  e as (select news_id, source, score, {_TICKERS} as tickers, {_first('t', N.EVENTS, 'none')} as event,
-  case when hits = 0 then 'neutral' when score <= -0.6 then 'strongly_bearish' when score <= -0.2 then 'bearish' when score <= 0.2 then 'neutral' when score <= 0.6 then 'bullish' else 'strongly_bullish' end as label,
+  {_LABEL},
   case when abs(score) > 0.6 then 'high' when abs(score) > 0.2 then 'moderate' else 'low' end as severity from s),
  ev as (select * from e where event <> 'none')"""
 
@@ -152,3 +159,41 @@ _PLACES = ", ".join(f"nullif(instr(lower(b), '{t}'), 0)" for t in _TERMS)
 select doc_id, case when length(b) > 250 then '...' || substring(b, greatest(0, first - 50) + 1, 250) || '...' else b end as highlight from f""")
 def t31_highlight(spark, d):
     return X.table(spark, d, "documents").where("text is not null").select("doc_id", N.highlight(F.col("text"), _TERMS).alias("highlight"))
+
+
+_A = _picked_sql("o_orderkey", NEWS, REMARKS, REMARKS, REMARKS)
+ARTICLES = f"articles as (select o_orderkey as news_id, 'They tell of ' || {_A[0]} || '. ' || {_A[1]} || '! ' || {_A[2]} || '. ' || {_A[3]} || '?' as text from orders)"
+
+
+def articles(spark, d):
+    """news_id, text: an article of four sentences an order."""
+    a = _picked("o_orderkey", NEWS, REMARKS, REMARKS, REMARKS)
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("news_id"), F.concat(F.lit("They tell of "), a[0], F.lit(". "), a[1], F.lit("! "), a[2], F.lit(". "), a[3], F.lit("?")).alias("text"))
+
+
+@query(rf"""with {ARTICLES}, p as (select news_id, unnest({_list(N.ASPECTS)}) as aspect, {_SENTENCES} as parts from articles),
+ f as (select news_id, aspect, list_filter(parts, lambda x: regexp_matches(x, '(?i)\b(' || aspect || '[a-z]*)\b')) as found from p), m as (select news_id, aspect, len(found) as n_sentences, array_to_string(found, ' ') as text from f where len(found) > 0),
+ {_sentiment('m')} select news_id, aspect, n_sentences, score, {_LABEL} from s""")
+def t21_aspects(spark, d):
+    """Sentiment of the sentences about each aspect, by the keywords of T18."""
+    return T.keyword_sentiment(N.aspects(articles(spark, d), "news_id", "text"), "combined").select("news_id", "aspect", "n_sentences", "score", "label")
+
+
+@query("with k as (select page_id, " + "case " + " ".join(f"when regexp_matches(lower(url), '{p}') then '{k}'" for p, k in T.URL_KINDS) + " else 'web_article' end as kind from pages) select page_id, kind, case "
+       + " ".join(f"when kind in ({', '.join(f"'{k}'" for k in kinds)}) then '{way}'" for way, kinds in N.CHUNKINGS.items()) + " else 'recursive' end as chunking from k")
+def t04_chunking(spark, d):
+    return X.table(spark, d, "pages").select("page_id", T.url_kind(F.col("url")).alias("kind")).select("page_id", "kind", N.chunking(F.col("kind")).alias("chunking"))
+
+
+def _confidence_sql(agent):
+    start, data, tools, context, warned = N.CONFIDENCES[agent]
+    some = " or ".join(f"contains(lower(text), '{w}')" for w in N.DISCLAIMERS[agent].split(";") if w) or "false"
+    parts = ((data, "turn > 0"), (tools, "turn > 1"), (context, "turn > 2"), (warned, some), (0.05, "length(text) > 300"))
+    return f"round(least(1.0::double, {start}::double + " + " + ".join(f"case when {c} then {g}::double else 0 end" for g, c in parts) + f"), 2) as {agent}"
+
+
+@query(f"select conv_id, turn, {', '.join(map(_confidence_sql, N.CONFIDENCES))} from conversations where role = 'assistant' and text is not null")
+def f48_confidence(spark, d):
+    """Confidence of three agents in a turn's answer; earlier turns stand for data, tools and context."""
+    x = X.table(spark, d, "conversations").where("role = 'assistant' and text is not null")
+    return x.select("conv_id", "turn", *(N.confidence(a, F.col("text"), *(F.col("turn") > k for k in range(3))).alias(a) for a in N.CONFIDENCES))

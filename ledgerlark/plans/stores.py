@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators.retrieval import best_by_prefix, cosine_search, cosine_top_k, last_of_group
 from ledgerlark.plans import fixtures as X
 from ledgerlark.plans.registry import query
-from ledgerlark.streaming.rollup import daily_bars_stream, first_of_key, hourly_rollup, request_counts, run_to_end, sessions
+from ledgerlark.streaming.rollup import daily_bars_stream, first_of_key, hourly_rollup, latest_of_key, request_counts, run_to_end, sessions
 
 
 @query("select event_type, count(*) as n from events group by 1")
@@ -144,3 +144,17 @@ select user_id, start, count(*) as n, count(*) > 100 as limited from w group by
 def x05_request_counts(spark, d):
     x = run_to_end(request_counts(_stream(spark, d, "events")))
     return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, count(*) as updates from events group by 1")
+def x07_latest_status(spark, d):
+    """The latest event of a user as the status of a query."""
+    return latest_of_key(_stream(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
+
+
+@query("""select conv_id, count(*) as chunks, max(turn) as last_chunk, arg_max(role, turn) = 'assistant' as done, sum(length(coalesce(text, ''))) as n_chars, count(*) = max(turn) - min(turn) + 1 as whole from conversations group by 1""")
+def x06_chunk_log(spark, d):
+    """Chunks of each session in their order: the last one and whether it ends the answer, characters, and whether no number is missing."""
+    t = F.col("turn")
+    x = X.table(spark, d, "conversations").groupBy("conv_id")
+    return x.agg(F.count("*").alias("chunks"), F.max(t).alias("last_chunk"), (F.max_by("role", t) == "assistant").alias("done"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"), (F.count("*") == F.max(t) - F.min(t) + 1).alias("whole"))

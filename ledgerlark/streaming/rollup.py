@@ -41,13 +41,37 @@ def request_counts(stream: DataFrame, key: str = "user_id", width: str = "60 sec
     return stamped.groupBy(F.window(ts, width, slide).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n", (F.col("n") > limit).alias("limited"))
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """Run a streaming frame over all that its source has now, into Parquet in the shared folder; the result is that table."""
-    spark = stream.sparkSession
+def _folder(spark) -> str:
+    """A new folder under the shared one; without a setting, a temporary one for a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    folder = f"{(folder or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{(folder or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def latest_of_key(stream: DataFrame, key: str, order: list[str], others: list[str]) -> DataFrame:
+    """The latest state of each key, by ``order``, after all that the source of a streaming frame has now.
+
+    The state store holds a row a key; each micro-batch writes only the keys that it changed, into a folder of its number, so a batch that is
+    run again writes the same. A reader takes a key's row of the greatest batch. Null keys are one key; ties in ``order`` go by ``others``.
+    """
+    spark = stream.sparkSession
+    folder = _folder(spark)
+    state = stream.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("s"), F.count("*").alias("updates")).select(key, "s.*", "updates")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("basePath", f"{folder}/out").schema(state.schema.add("batch", "long")).parquet(f"{folder}/out")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*order, *others, "updates"), "batch").alias("s"))
+    return last.select(key, "s.*")
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Run a streaming frame over all that its source has now, into Parquet in the shared folder; the result is that table."""
+    spark = stream.sparkSession
+    folder = _folder(spark)
     job = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from ledgerlark import catalog
 
-D = "/root/testdata/sf0.001"
+D = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import news as N
+from ledgerlark.operators import indicators as I
+from ledgerlark.operators import monitoring as M
 from ledgerlark.operators import trading as T
+from ledgerlark.streaming.rollup import latest_of_key
 
 
 def one(spark, text, column):
@@ -89,3 +92,45 @@ def test_importance(spark):
     rows = [("a", 3.0), ("a", -3.0), ("b", 1.0), ("c", 0.0)]
     got = {r.f: r for r in T.importance(spark.createDataFrame(rows, "f string, x double"), "f", "x").collect()}
     assert [got[k]["rank"] for k in "abc"] == [1, 2, 3] and got["a"].mean == 0 and got["a"].share == 75.0 and got["b"].n_for_90 == 2
+
+
+def test_aspects_and_confidence(spark):
+    df = spark.createDataFrame([(1, "Profits rose. Nothing here! Risky debt, profit fell."), (2, None)], "id int, text string")
+    got = {(r.id, r.aspect): (r.n_sentences, r.combined) for r in N.aspects(df, "id", "text").collect()}
+    assert got == {(1, "profit"): (2, "Profits rose. Risky debt, profit fell."), (1, "risk"): (1, "Risky debt, profit fell."), (1, "debt"): (1, "Risky debt, profit fell.")}
+    yes, no = F.lit(True), F.lit(False)
+    assert one(spark, "x" * 301 + " past performance", lambda c: N.confidence("market_analyst", c, yes, yes, yes)) == 1.0
+    assert one(spark, "short", lambda c: N.confidence("risk_analyst", c, yes, no, no)) == 0.8
+
+
+def test_macd_of_reseeded_windows_against_a_loop(spark):
+    def ema(x, p):
+        e = sum(x[:p]) / p
+        for v in x[p:]:
+            e = (v - e) * 2 / (p + 1) + e
+        return e
+
+    closes = list(100 + np.cumsum(np.random.default_rng(3).normal(0, 1, 80)))
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(closes)] + [("b", i, float(v)) for i, v in enumerate(closes[:20])], "symbol string, d int, close double")
+    got = {r.symbol: r for r in I.macd_reseeded(df).collect()}
+    line = ema(closes, 12) - ema(closes, 26)
+    windows = [closes[i - 25 : i + 1] for i in range(26, 80)]
+    assert got["a"].macd_line == pytest.approx(line) and got["a"].signal_line == pytest.approx(ema([ema(w, 12) - ema(w, 26) for w in windows], 9))
+    assert got["b"].macd_line == pytest.approx(ema(closes[:20], 12) - ema(closes[:20], 26)) and got["b"].histogram == 0
+
+
+def test_retraining_decisions(spark):
+    rows = [("a", "high", 0.2, "2024-01-01", 20_000), ("b", "low", 0.1, "2024-03-01", 10_000), ("c", None, None, None, None)]
+    df = spark.createDataFrame(rows, "model string, drift_severity string, performance_drop double, day string, predictions long").withColumn("last_retrained", F.col("day").cast("date"))
+    got = {r.model: (r.should_retrain, r.days_since, r.reason) for r in M.retraining_decisions(df, "2024-03-05").collect()}
+    assert got["a"] == (True, 64, "drift severity: high; performance drop: 20.0%; days since retrain: 64 > 30; predictions since retrain: 20000 > 10000")
+    assert got["b"] == (False, 4, "No triggers met") and got["c"] == (False, -1, "No triggers met")
+
+
+def test_latest_of_key_over_several_batches(spark, tmp_path):
+    kinds = "k int, at int, status string"
+    for i, rows in enumerate([[(1, 1, "new"), (2, 5, "done")], [(1, 3, "done"), (2, 4, "late")], [(None, 1, "new")]]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(r.k, r.at, r.status, r.updates) for r in latest_of_key(stream, "k", ["at"], ["status"]).collect()}
+    assert got == {(1, 3, "done", 2), (2, 5, "done", 2), (None, 1, "new", 1)}
