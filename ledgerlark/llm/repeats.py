@@ -16,7 +16,7 @@ _GRAM = 16
 #: Offsets of an anchor that are tested together before they are tested one by one.
 _BLOCK = 32
 #: Bytes of text that are hashed at a time.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASES = (0xC2B2AE3D27D4EB4F, 0x9E3779B185EBCA85)
 _U = np.uint64
 _powers: dict[int, np.ndarray] = {}
@@ -244,10 +244,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     keep, drop = scratch.keep, scratch.drop
     key, counts = _checked_texts(df, text_col, length, keep)
     text = text_or_empty(text_col)
-    texts = df.where(F.octet_length(text) >= length).select(key.alias("key"), text.cast("binary").alias("text")).mapInArrow(_first_of_task, "key long, text binary")
+    texts = df.where(F.octet_length(text) >= length).select(key.alias("key"), text.cast("binary").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _first_of_task(batches):
             data, offsets = utf8_parts(batch.column(1))
             row, name, at, rest, whole = anchors(data, offsets, length, width)
             keys = batch.column(0).to_numpy()
@@ -301,7 +301,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 numbers = [pa.array(c[t]) for c in (keys, start, lo, hi)]
                 yield pa.RecordBatch.from_arrays([*numbers, pa.array([raw[i:j] for i, j in zip(a[t], b[t])], pa.binary())], ["key", "start", "lo", "hi", "bytes"])
 
-    around = keep(texts.join(asked, "key").mapInArrow(contexts, "key long, start long, lo long, hi long, bytes binary"))
+    around = keep(texts.mapInArrow(_first_of_task, "key long, text binary").join(asked, "key").mapInArrow(contexts, "key long, start long, lo long, hi long, bytes binary"))
     drop(asked)
 
     def opened(batch: pa.RecordBatch):
