@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,12 @@ def fitted(v: Column, dims: int) -> Column:
 def relevance(distance: Column) -> Column:
     """1 - d up to a distance of 1, then 1 / (1 + d)."""
     return F.when(distance <= 1, F.greatest(F.lit(0.0), 1 - distance)).otherwise(1 / (1 + distance))
+
+
+def hashed_words(df: DataFrame, id_col: str, words: Column, dims: int = 256, vector: str = "embedding") -> DataFrame:
+    """``id_col`` and a vector of ``dims`` numbers for each row: each distinct word adds 1 or -1 in the dimension that its hash names. Rows without words have null; ids are unique."""
+    h = F.xxhash64("w")
+    x = df.select(id_col, F.explode(F.array_distinct(words)).alias("w")).groupBy(id_col, F.pmod(h, F.lit(dims)).cast("int").alias("k")).agg(F.sum(F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
+    x = x.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
+    x = x.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(vector))
+    return df.select(id_col).join(x, id_col, "left")

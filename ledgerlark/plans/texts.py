@@ -197,16 +197,17 @@ def r3_bm25(spark, d):
     return R.bm25(asked, docs(spark, d), "item_id", "doc_id", "text", 20).select("item_id", "doc_id", "score")
 
 
-_FUSED = f"""{_TERMS}, v as (select item_id, doc_id, round(1 - ((doc_id * 7 + item_id) % 1000) / 1000.0, 6)::double as vs from benchmark, documents where item_id % 10 = 0 qualify row_number() over (partition by item_id order by vs desc, doc_id) <= 20)"""
+_FUSED = f"""{_TERMS}, e as (select vec_id, cast(embedding as double[]) as e from embeddings), vs as (select q.vec_id as item_id, e.vec_id as doc_id, round(list_cosine_similarity(e.e, q.e), 9) as c from e q join benchmark on q.vec_id = item_id, e where item_id % 10 = 0 and e.vec_id <> q.vec_id),
+ v as (select item_id, doc_id, round(c, 6) as vs from vs qualify row_number() over (partition by item_id order by c desc, doc_id) <= 20)"""
 
 
 def _lists(spark, d):
-    """A text list (BM25) and a vector list (made up from ids) for each query."""
+    """Two lists for each query: by the cosine of its vector to all documents' vectors (of the same ids), and by its text (BM25)."""
     asked = X.table(spark, d, "benchmark").where("item_id % 10 = 0")
     text = R.bm25(asked, docs(spark, d), "item_id", "doc_id", "text", 20)
-    v = docs(spark, d).select("doc_id").join(F.broadcast(asked.select("item_id")), how="cross")  # a few queries
-    v = v.withColumn("score", F.round(1 - (F.col("doc_id") * 7 + F.col("item_id")) % 1000 / 1000, 6))
-    return R.best_of(v, "item_id", "doc_id", 20), text
+    e = X.table(spark, d, "embeddings")
+    v = R.cosine_search(e.join(asked.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), e, "vec_id", "embedding", 20)
+    return v.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.round("similarity", 6).alias("score")), text
 
 
 @query(f"""with {_FUSED}, j as (select coalesce(v.item_id, t.item_id) as item_id, coalesce(v.doc_id, t.doc_id) as doc_id, round(0.7::double * coalesce(vs, 0) + 0.3::double * coalesce(score, 0), 6) as fused from v full join top t on v.item_id = t.item_id and v.doc_id = t.doc_id)
