@@ -30,7 +30,7 @@ def loop(f: pd.DataFrame, threshold: float = 0.85) -> dict:
     return out
 
 
-@pytest.mark.parametrize("block", [8, 32, 2048])
+@pytest.mark.parametrize("block", [16, 2048])
 def test_covers_equal_the_loop(spark, block):
     rng = np.random.default_rng(5)
     rows = [(int(u), i, v.tolist(), float(w)) for i, (u, v, w) in enumerate(zip(np.minimum(rng.geometric(0.6, 300), 4), rng.normal(size=(300, 5)), rng.integers(0, 20, 300) / 20))]
