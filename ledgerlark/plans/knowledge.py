@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import sections as C
+from ledgerlark.functions import text as T
 from ledgerlark.functions.vectors import hashed_words
 from ledgerlark.operators import fulltext, memories
 from ledgerlark.plans import fixtures as X
 from ledgerlark.plans.registry import query
+from ledgerlark.session import new_folder
+from ledgerlark.sources import ledger
 
 #: Words that a search leaves out.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
@@ -59,3 +63,65 @@ def r02_cover_density(spark, d):
     asked = X.table(spark, d, "benchmark").select("item_id", F.array_join(first, " ").alias("text"))
     index = fulltext.positions(X.table(spark, d, "documents"), "doc_id", "text", STOP_WORDS)
     return fulltext.cover_density(asked, index, "item_id", "text", "doc_id", 10, STOP_WORDS).withColumn("covers", F.col("covers").cast("long"))
+
+
+def _docs(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", "text", "source")
+
+
+@query()
+def t09_vector_chunks(spark, d):
+    """Sentences joined by the cosine of their words' vectors, over whole documents."""
+    return T.chunked(_docs(spark, d), "doc_id", "text", lambda t: C.vector_chunks(T.sentences(t), C.word_vector))
+
+
+def _reports(spark, d):
+    """Documents as reports: every fourth sentence stands under a heading."""
+    names = F.array(*(F.lit(h) for h in ("Outlook", "Risk Factors", "Cash Flow", "Dividend", "Balance Sheet")))
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=\. )"), lambda s, i: F.when(i % 4 == 3, F.concat(F.lit("\n## "), F.element_at(names, i % 5 + 1), F.lit("\n"), s)).otherwise(s))
+    return _docs(spark, d).select("doc_id", F.array_join(parts, "").alias("text"))
+
+
+@query()
+def t10_report_chunks(spark, d):
+    """Sections under headings, cut where they are over 2,000 characters."""
+    return T.chunked(_reports(spark, d), "doc_id", "text", C.report_chunks)
+
+
+@query()
+def t11_headline_chunks(spark, d):
+    """Documents as news: the first line is the headline, and sentences are paragraphs."""
+    news = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?<=\.) ", "\n\n")
+    return T.chunked(_docs(spark, d).select("doc_id", news.alias("text")), "doc_id", "text", C.headline_chunks)
+
+
+@query()
+def t12_packed_sections(spark, d):
+    """Documents' sentences as sections, packed into chunks of up to 2,000 characters with stable ids."""
+    parted = F.regexp_replace("text", r"(?<=\.) ", "\n\n")
+    x = _docs(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 20).alias("title"), parted.alias("content"))
+    return C.packed_sections(x, "url", "title", "content")
+
+
+@query("""with x as (select doc_id, text, source, sha256(text || ':' || coalesce(source, '')) as checksum, doc_id % 2 as b from documents where trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')) <> '')
+select checksum, min(doc_id) as doc_id, b::varchar as batch, max(ceil(length(text) / 1000.0))::bigint as chunks from x where b = 0 or checksum not in (select checksum from x where b = 0) group by checksum, b""")
+def k05_persistent_ingest(spark, d):
+    """Documents put into a store in two batches, the first delivered twice: which batch holds each, and its chunks of 1,000 characters."""
+    path, docs = new_folder(spark, "ledger"), _docs(spark, d).select("doc_id", "source", F.col("text").alias("content"))
+    n = F.ceil(F.length("content") / 1000).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr("content", k * 1000 + 1, F.lit(1000)))
+    for b in (0, 1, 0):
+        ledger.ingest(spark, path, str(b), docs.where(F.col("doc_id") % 2 == b), chunks)
+    parts = ledger.table(spark, path, "chunks").groupBy("checksum").agg(F.count("*").alias("chunks"))
+    return ledger.table(spark, path, "documents").join(parts, "checksum").select("checksum", "doc_id", "batch", "chunks")
+
+
+@query("""select doc_id, case when trim(coalesce(text, '')) <> '' then text in (select text from documents where doc_id % 2 = 0 and text is not null) end as cached,
+ case when trim(coalesce(text, '')) <> '' then 16 end as dims from documents""")
+def k13_embedding_cache(spark, d):
+    """Vectors of documents, those with even ids first: which of all come from the cache then."""
+    path, docs = new_folder(spark, "vectors"), _docs(spark, d)
+    embed = lambda texts: [C.seeded_vector(t, 16) for t in texts]
+    ledger.embedded(spark, path, "even", docs.where("doc_id % 2 = 0"), "text", embed)
+    x = ledger.embedded(spark, path, "all", docs, "text", embed)
+    return x.select("doc_id", "cached", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))

@@ -65,14 +65,19 @@ def w38_instalments(spark, d):
     return T.advance_tax(people(spark, d), T.income_tax(F.col("income") + 50_000), "user_id").select("user_id", "due_date", F.round("instalment", 6).alias("instalment"))
 
 
-@query(f"""with {PEOPLE}, v as (select o_custkey as user_id, round(o_totalprice * 0.05, 2) as amount from orders), t as (select user_id, sum(amount) as total, sum(case when amount > 5000 then amount * 0.10::double else 0 end) as tds from v group by 1),
- m as (select user_id, total, tds, case when income + total <= 700000 then 0.0 else {_case('(income + total)', T.SLAB_STARTS)} end::double as rate from t join people using (user_id))
-select user_id, round(total * 100)::bigint as total_cents, round(tds * 1000)::bigint as tds_mills, round(total * rate * 10000)::bigint as tax_e4, round(greatest(0, total * rate - tds) * 10000)::bigint as payable_e4 from m""")
+@query(f"""with {PEOPLE}, v as (select o_custkey as user_id, round(cast(o_totalprice as decimal(18, 2)) * 0.05::decimal(3, 2), 2) as amount from orders),
+ t as (select user_id, sum(amount) as total, sum(case when amount > 5000 then amount * 0.10::decimal(3, 2) else 0 end) as tds from v group by 1),
+ m as (select user_id, cast(total as decimal(18, 4)) as total, cast(tds as decimal(18, 4)) as tds, cast(case when income + total <= 700000 then 0.0 else {_case('(income + total)', T.SLAB_STARTS)} end as decimal(4, 2)) as rate from t join people using (user_id))
+select user_id, cast(total * 100 as bigint) as total_cents, cast(tds * 1000 as bigint) as tds_mills, cast(total * rate * 10000 as bigint) as tax_e4, cast(greatest(0, total * rate - tds) * 10000 as bigint) as payable_e4 from m""")
 def f41_dividend_tax(spark, d):
-    v = X.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.round(F.col("o_totalprice") * 0.05, 2).alias("amount"))
-    t = v.groupBy("user_id").agg(F.sum("amount").alias("total"), F.sum(F.when(F.col("amount") > 5000, F.col("amount") * 0.10).otherwise(0.0)).alias("tds")).join(people(spark, d), "user_id")
-    tax = F.col("total") * T.marginal_rate(F.col("income") + F.col("total"))
-    return t.select("user_id", *(F.round(x * k).cast("bigint").alias(n) for x, k, n in ((F.col("total"), 100, "total_cents"), (F.col("tds"), 1000, "tds_mills"), (tax, 10_000, "tax_e4"), (F.greatest(F.lit(0.0), tax - F.col("tds")), 10_000, "payable_e4"))))
+    """Money in decimals: five percent of an order is a dividend, to cents; all products of it are exact."""
+    part = lambda x: F.lit(x).cast("decimal(3,2)")
+    v = X.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.round(F.col("o_totalprice").cast("decimal(18,2)") * part("0.05"), 2).alias("amount"))
+    t = v.groupBy("user_id").agg(F.sum("amount").alias("total"), F.sum(F.when(F.col("amount") > 5000, F.col("amount") * part("0.10")).otherwise(F.lit(0).cast("decimal(18,4)"))).alias("tds")).join(people(spark, d), "user_id")
+    total, tds = F.col("total").cast("decimal(18,4)"), F.col("tds").cast("decimal(18,4)")
+    tax = total * T.marginal_rate(F.col("income") + F.col("total").cast("double")).cast("decimal(4,2)")
+    payable = F.greatest(F.lit(0).cast("decimal(18,4)"), tax - tds)
+    return t.select("user_id", *((x * k).cast("bigint").alias(n) for x, k, n in ((total, 100, "total_cents"), (tds, 1000, "tds_mills"), (tax, 10_000, "tax_e4"), (payable, 10_000, "payable_e4"))))
 
 
 _GOAL = """y as (select *, {years} as years, {target} as target, {monthly} as monthly from people {where}), g as (select *, pow(1 + {p} / 1200.0, 12 * years) as grown, (pow(1 + {p} / 1200.0, 12 * years) - 1) / ({p} / 1200.0) as annuity from y),
