@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.order import quantiles
 from ledgerlark.session import with_package
 
 
@@ -19,7 +20,7 @@ def z_outliers(df: DataFrame, value: str, limit: float = 3.0, key: str = "symbol
 
 def iqr_outliers(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
     """Rows beyond ``k`` interquartile ranges of the quartiles (interpolated)."""
-    q = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = quantiles(df, key, value, [0.25, 0.75]).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = k * (F.col("q3") - F.col("q1"))
     return df.join(q, key).where((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.order import numbered, quantiles
+
 #: One-sided normal quantiles of the usual levels, and densities there.
 Z = {0.90: 1.2815515655446004, 0.95: 1.6448536269514722, 0.99: 2.3263478740408408}
 
@@ -45,14 +47,12 @@ def value_at_risk(df: DataFrame, level: float, method: str = "index", key: str =
     ``cornish_fisher``: with skewness and kurtosis."""
     a = round(1 - level, 10)
     if method in ("index", "signed"):
-        w = Window.partitionBy(key)
-        x = df.withColumn("rn", F.row_number().over(w.orderBy("ret", "d"))).withColumn("n", F.count("*").over(w))
-        place = F.floor(F.col("n") * a) + 1
-        x = x.where(F.col("rn") <= place).groupBy(key).agg(F.max("ret").alias("var"), F.avg("ret").alias("cvar"))
+        x = numbered(df.select(key, "d", "ret"), key, "ret", "d")
+        x = x.where(F.col("idx") <= F.floor(F.col("rows") * a)).groupBy(key).agg(F.max("ret").alias("var"), F.avg("ret").alias("cvar"))
         sign = -1 if method == "index" else 1
         return x.select(key, (sign * F.col("var")).alias("var"), (sign * F.col("cvar")).alias("cvar"))
     if method == "quantile":
-        q = df.groupBy(key).agg(F.percentile("ret", F.lit(a)).alias("var"))
+        q = quantiles(df, key, "ret", [a]).select(key, F.col("q")[0].alias("var"))
         return df.join(q, key).groupBy(key).agg(F.first("var").alias("var"), F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"))
     z = -Z[level]
     m = moments(df, key)
@@ -163,18 +163,24 @@ def stress_level(loss: Column) -> Column:
 
 
 def backtest_metrics(df: DataFrame, risk_free: float = 0.07, value: float = 1_000_000.0, key: str = "portfolio") -> DataFrame:
-    """The 21 figures of a back-test: compounded return, Sharpe, Sortino below the daily rate, drawdown, VaR, days, moments, final value."""
+    """The 21 figures of a back-test: compounded return, Sharpe, Sortino below the daily rate, drawdown, VaR, days, moments, final value.
+
+    One shuffle by key: equity runs by day and losses are ranked in the same partitions, then all is one aggregate.
+    """
     daily, root = (1 + risk_free) ** (1 / 252) - 1, F.sqrt(F.lit(252.0))
-    ret = F.col("ret")
+    ret, every = F.col("ret"), Window.partitionBy(key)
+    df = with_equity(df, key).withColumn("_rn", F.row_number().over(every.orderBy("ret", "d"))).withColumn("_n", F.count("*").over(every))
+    n, rank = F.count("ret").cast("double"), F.col("_rn")
+    tails = []
+    for level in (0.95, 0.99):
+        place = F.floor(F.col("_n") * round(1 - level, 10)) + 1
+        tails += [F.max(F.when(rank <= place, ret)).alias(f"var_{level * 100:.0f}"), F.avg(F.when(rank <= place, ret)).alias(f"cvar_{level * 100:.0f}")]
     g = df.groupBy(key).agg(
         (F.exp(F.sum(F.ln(1 + ret)) * 252 / F.count("*")) - 1).alias("annualised_return"), (F.stddev_samp("ret") * root).alias("annualised_volatility"), (F.stddev_samp(F.when(ret < daily, ret - daily)) * root).alias("down"),
         F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg((ret > 0).cast("double")).alias("win_rate"), F.avg(F.when(ret > 0, ret)).alias("avg_win"), F.avg(F.when(ret < 0, ret)).alias("avg_loss"),
         (F.exp(F.sum(F.ln(1 + ret))) * value).alias("final_value"), (F.exp(F.sum(F.ln(1 + ret)) - F.ln(1 + F.min_by("ret", "d"))) - 1).alias("total_return"),
+        F.min("drawdown").alias("max_drawdown"), (F.skewness("ret") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("ret") + 6)).alias("excess_kurtosis"), *tails,
     )
-    dd = with_equity(df, key).groupBy(key).agg(F.min("drawdown").alias("max_drawdown"))
-    g = g.join(dd, key).join(moments(df, key).select(key, F.col("skew").alias("skewness"), F.col("kurtosis").alias("excess_kurtosis")), key)
-    for level in (0.95, 0.99):
-        g = g.join(value_at_risk(df, level, "signed", key).toDF(key, f"var_{level * 100:.0f}", f"cvar_{level * 100:.0f}"), key)
     excess = F.col("annualised_return") - risk_free
     g = g.withColumn("sharpe_ratio", excess / F.nullif("annualised_volatility", F.lit(0.0))).withColumn("sortino_ratio", excess / F.nullif("down", F.lit(0.0))).withColumn("calmar_ratio", F.col("annualised_return") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)))
     return g.withColumn("profit_loss_ratio", F.coalesce(F.col("avg_win") / F.abs("avg_loss"), F.lit(float("inf")))).withColumn("risk_free_rate", F.lit(risk_free)).drop("down")

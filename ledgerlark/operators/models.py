@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.session import with_package
+from ledgerlark.operators.order import quantiles
+from ledgerlark.session import cut, with_package
 
 
 def garch_filter(r: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
@@ -68,7 +69,8 @@ def monte_carlo(stats: DataFrame, paths: int = 10_000, days: int = 252, seed: in
     uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), key, "path", "day"), 11) + F.lit(0.5)) / float(1 << 53)
     x = x.withColumn("z", F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * F.pi() * uniform(1)))
     end = x.groupBy(key, "path").agg((F.exp(F.sum(F.ln(F.greatest(F.lit(1e-6), 1 + F.col("mu") + F.col("sigma") * F.col("z"))))) - 1).alias("r"))
-    q = end.groupBy(key).agg(F.percentile("r", F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("q"), F.avg((F.col("r") > 0).cast("double")).alias("p_profit"))
+    end = cut(end)  # the draws are used thrice
+    q = quantiles(end, key, "r", [0.05, 0.5, 0.95]).join(end.groupBy(key).agg(F.avg((F.col("r") > 0).cast("double")).alias("p_profit")), key)
     tail = end.join(q, key).where(F.col("r") <= F.col("q")[0]).groupBy(key).agg(F.avg("r").alias("shortfall"))
     return q.join(tail, key).select(key, F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "p_profit", "shortfall")
 

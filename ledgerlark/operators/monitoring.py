@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.order import quantiles
+
 LEVELS = ("none", "low", "medium", "high")
 
 
@@ -33,8 +35,7 @@ def _shares(binned: DataFrame) -> DataFrame:
 
 def psi(samples: DataFrame, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index over bins at the quantiles of both samples together, the last closed on the right."""
-    cuts = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = samples.groupBy("feature").agg(F.array_distinct(F.percentile("value", cuts)).alias("edges"))
+    edges = quantiles(samples, "feature", "value", [k / bins for k in range(bins + 1)]).select("feature", F.array_distinct("q").alias("edges"))
     x = samples.join(edges, "feature")
     at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
     s = _shares(x.withColumn("bin", at)).withColumn("p", F.col("p") + eps).withColumn("q", F.col("q") + eps)

@@ -6,20 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.models import fit_garch, garch_filter
-from ledgerlark.session import in_order, with_package
-
-
-def numbered(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``idx``: rows of a key numbered from 0 by ``order``. The sort is a distributed one, and only counts by key and partition meet, so a key may have any number of rows."""
-    x = in_order(df, key, order).withColumn("_part", F.shiftright("seq", 33))
-    parts = x.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
-    return x.withColumn("idx", F.col("seq") - F.col("_first") + F.col("_before")).drop("seq", "_part", "_k", "_p", "_first", "_n", "_before")
+from ledgerlark.operators.order import numbered
+from ledgerlark.session import with_package
 
 
 def haloed(df: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:

@@ -103,7 +103,7 @@ def t12_packed_sections(spark, d):
     return C.packed_sections(x, "url", "title", "content")
 
 
-@query("""with x as (select doc_id, text, source, sha256(text || ':' || coalesce(source, '')) as checksum, doc_id % 2 as b from documents where trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')) <> '')
+@query(r"""with x as (select doc_id, text, source, sha256(text || ':' || coalesce(source, '')) as checksum, doc_id % 2 as b from documents where trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')) <> '')
 select checksum, min(doc_id) as doc_id, b::varchar as batch, max(ceil(length(text) / 1000.0))::bigint as chunks from x where b = 0 or checksum not in (select checksum from x where b = 0) group by checksum, b""")
 def k05_persistent_ingest(spark, d):
     """Documents put into a store in two batches, the first delivered twice: which batch holds each, and its chunks of 1,000 characters."""

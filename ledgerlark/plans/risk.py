@@ -67,13 +67,13 @@ _ALL_PAIRS = f"with {X.RETURNS}, j as (select a.symbol as a, b.symbol as b, a.d,
  z as (select a, b, (c - avg(c) over (partition by a, b)) / nullif(stddev_pop(c) over (partition by a, b), 0) as z from w where k = 60)
 select a, b, count(*) as odd_days, round(max(abs(z)), 4) as max_z from z where abs(z) > 2 group by 1, 2""")
 def w28_rolling_correlations_all(spark, d):
-    """Every pair of symbols; ``w28_rolling_correlations`` has those below 'Brand#3'."""
+    """The same as ``w28_rolling_correlations``, under its older name."""
     return T.rolling_correlations(X.returns(spark, d)).select("a", "b", "odd_days", F.round("max_z", 4).alias("max_z"))
 
 
 @query(_ALL_PAIRS + " select a, b, count(*) as days, round(corr(x, y), 6) as corr from j group by 1, 2 having count(*) >= 30")
 def f15_correlation_pairs_all(spark, d):
-    """Every pair of symbols; ``f15_correlation_pairs`` has those below 'Brand#3'."""
+    """The same as ``f15_correlation_pairs``, under its older name."""
     return T.correlation_pairs(X.returns(spark, d)).select("a", "b", "days", F.round("corr", 6).alias("corr"))
 
 
@@ -220,10 +220,14 @@ def f16_stress_by_beta(spark, d):
     return x.groupBy("portfolio").agg(F.min_by("scenario", F.struct("loss", "scenario")).alias("worst"), F.round(F.min("loss"), 5).alias("loss_pct"), F.count("*").alias("scenarios"))
 
 
-@query(f"""with {X.RETURNS}, z as (select symbol, d, ret, (ret - avg(ret) over w) / nullif(stddev_pop(ret) over w, 0) as z from returns window w as (partition by symbol))
-select symbol, d, round(z, 4) as z from z where abs(z) > 1.5""")
+@query(f"""with {X.BARS}, rr as (select symbol, d, round("close" / lag("close") over (partition by symbol order by d) - 1, 9) as ret from bars),
+ z as (select symbol, d, ret, (ret - avg(ret) over w) / nullif(stddev_pop(ret) over w, 0) as z from rr where ret is not null window w as (partition by symbol))
+select symbol, d, round(z, 4) as z from z where abs(z) > 3""")
 def f18_anomaly_z(spark, d):
-    return N.z_outliers(X.returns(spark, d), "ret", 1.5).select("symbol", "d", F.round("z", 4).alias("z"))
+    """Days on which a segment's return is over three deviations from its mean."""
+    w = Window.partitionBy("symbol").orderBy("d")
+    x = X.bars(spark, d).select("symbol", "d", F.round(F.col("close") / F.lag("close").over(w) - 1, 9).alias("ret")).where("ret is not null")
+    return N.z_outliers(x, "ret").select("symbol", "d", F.round("z", 4).alias("z"))
 
 
 @query("""with q as (select event_type, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events group by 1)

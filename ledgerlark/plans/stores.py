@@ -58,9 +58,12 @@ def k08_clamped_update(spark, d):
     return X.table(spark, d, "events").select("event_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.col("value") / 490 + 0.25, 9))).alias("importance"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("""with t as (select doc_id, sha256(coalesce(text, '')) as checksum from documents) select doc_id, checksum from t where checksum not in (select checksum from t join labels using (doc_id))""")
 def j11_not_stored(spark, d):
-    return X.table(spark, d, "customer").join(X.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Documents whose checksum no labelled document has."""
+    t = X.table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
+    stored = t.join(X.table(spark, d, "labels").select("doc_id"), "doc_id").select("checksum")
+    return t.join(stored, "checksum", "left_anti").select("doc_id", "checksum")
 
 
 @query(f"""with {X.WEIGHTS}, a as (select symbol, weight from weights where portfolio = 'BUILDING' and weight > 0.04), b as (select symbol, weight from weights where portfolio = 'MACHINERY' and weight > 0.04)
