@@ -25,11 +25,29 @@ _SILENT = "script style noscript noframes template svg math iframe object textar
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _ASIDE = set("nav footer aside form menu dialog".split())
 _MAIN = set("article main".split())
-# Words in class, id or role that mark what is not the article, and what is.
+# Words in class, id or role that mark what is not the article, and what is; words that say only where or how large a part is.
 _ASIDE_WORD = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|side|sidebar\w*|widgets?|related|recommend\w*|newsletter|subscri\w*|sign-?up|log-?in|menus?|nav\w*|breadcrumbs?|foot|footer\w*|masthead|topbar|toolbar|pag(?:er|ination)|copyright|legal|contentinfo|complementary|search|hidden)(?![a-z])"
+    r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|side|sidebar\w*|widgets?|related|recommend\w*|newsletter|subscri\w*|sign-?up|log-?in|menus?|nav\w*|breadcrumbs?|foot|footer\w*|masthead|topbar|toolbar|pag(?:er|ination)|copyright|legal|contentinfo|complementary|search|hidden"
+)
+_PLAIN_WORD = re.compile(
+    r"[a-z]|[0-9x]+|site|page|global|main|primary|secondary|left|right|top|bottom|upper|lower|inner|outer|sticky|fixed|float\w*|bar|box|block|area|zone|slot|unit|panel|pane|column|col|row|list|links?|items?|group|sections?|wrap\w*|container|content|body|text|message|form|buttons?|icons?|title|head\w*|thread|tree|post|posts|article\w*|stor(?:y|ies)|media|user|reader|web|mobile|desktop|js|ui|up|in|sign|log|policy|by|and|you|may|like|more|us|follow|email|footer|privacy|trail"
 )
 _MAIN_WORD = re.compile(r"(?<![a-z])(?:article\w*|main|post|entry|story|content|body-?text)(?![a-z])")
+
+
+@lru_cache(1 << 16)
+def _marks_aside(names: str) -> bool:
+    """Whether a class, id or role names a part beside the article: one of its names is made of words for such parts and plain words only.
+
+    ``site-footer`` or ``comment-list`` names a part; ``has-sidebar``, ``overflow-hidden`` or ``comments-closed`` tells of a state, and ``legal-analysis`` of a subject.
+    """
+    for name in names.split():
+        words = [w for w in name.split("-") if w]
+        if any(_ASIDE_WORD.fullmatch(w) for w in words) and all(_ASIDE_WORD.fullmatch(w) or _PLAIN_WORD.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 # The end tags of head and option may be left out. What a head may hold is silent or void, so it needs no end; an option ends
 # at its end tag, else before the next option or group, or where a block ends. An svg or math that closes itself is empty.
 _TAG = re.compile(
@@ -63,11 +81,15 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page, in order. White space inside a block is one space; blocks without text are left out."""
+    """Text blocks of a page, in order. White space inside a block is one space; blocks without text are left out.
+
+    If the names of classes put all of the article aside, they are not believed on that page, and only elements and hidden parts count.
+    """
     out: list[Block] = []
+    by_element: list[bool] = []
     text: list[str] = []
-    # (element, marked as aside, in the article, label)
-    stack: list[tuple[str, bool, bool, int | None]] = [("", False, False, None)]
+    # (element, marked as aside, so by an element, in the article, label)
+    stack: list[tuple[str, bool, bool, bool, int | None]] = [("", False, False, False, None)]
     opened: Counter[str] = Counter()  # how many of each element are open, so that no search runs for nothing
     links = linked = 0
     head = False
@@ -94,7 +116,9 @@ def blocks_of(page: str) -> list[Block]:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
                 n = whole.count(" ") + 1
-                out.append(Block(whole, n, min(linked, n), stack[-1][1], stack[-1][2], head, stack[-1][3]))
+                _, aside, element, main, label = stack[-1]
+                out.append(Block(whole, n, min(linked, n), aside, main, head, label))
+                by_element.append(element)
         text, linked, head = [], 0, False
 
     at = 0
@@ -127,17 +151,21 @@ def blocks_of(page: str) -> list[Block]:
                 opened.subtract(x[0] for x in stack[k:])
                 del stack[k:]
         elif name not in _VOID and name != "head" and not m[4].endswith("/"):
-            _, aside, main, label = stack[-1]
+            _, aside, element, main, label = stack[-1]
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[4])}
             marks = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().replace("_", "-")
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-            aside = aside or name in _ASIDE or (name == "header" and not main) or hidden or (name not in ("html", "body", "main") and bool(_ASIDE_WORD.search(marks)))
+            element = element or name in _ASIDE or (name == "header" and not main) or hidden
+            aside = aside or element or (name not in ("html", "body", "main") and _marks_aside(marks))
             main = main or name in _MAIN or bool(_MAIN_WORD.search(marks))
-            stack.append((name, aside, main, int(attrs["data-label"]) if "data-label" in attrs else label))
+            stack.append((name, aside, element, main, int(attrs["data-label"]) if "data-label" in attrs else label))
             opened[name] += 1
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     flush()
+    if not any(b.main and not b.aside for b in out) and any(b.main and not e for b, e in zip(out, by_element)):
+        for b, e in zip(out, by_element):
+            b.aside = e
     return out
 
 
