@@ -126,22 +126,35 @@ def band_keys(sketch: np.ndarray, bands: np.ndarray) -> np.ndarray:
 
 
 def elements(hashes: np.ndarray) -> np.ndarray:
-    """A text's shingles as 32-bit numbers, one for each occurrence; the top bits stay those of the bucket."""
-    return _elements(*np.unique(hashes, return_counts=True))
+    """A text's shingles with their counts, packed (see :func:`packed`)."""
+    return packed(*np.unique(hashes, return_counts=True))
 
 
-def _elements(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    e = (h >> np.uint64(32)).astype(np.uint32)
-    extra = [((e[n > k] & np.uint32(0xFFFFC000)) | ((e[n > k] * np.uint32(2654435761) + np.uint32(k * 7919)) & np.uint32(0x3FFF))) for k in range(1, int(n.max(initial=1)))]
-    return np.unique(np.concatenate([e, *extra]))
+def packed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distinct shingles and their counts as 32-bit numbers: how many there are, their hashes, of which the top bits stay those of
+    the bucket, in order, then the places of those that repeat, then how often they do beyond once. Few texts have many of these."""
+    e, at = np.unique((h >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+    n = np.bincount(at, n, len(e)).astype(np.int64)
+    again = np.flatnonzero(n > 1)
+    return np.concatenate([np.array([len(e)], np.uint32), e, again.astype(np.uint32), np.minimum(n[again] - 1, 2**32 - 1).astype(np.uint32)])
+
+
+def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts."""
+    k = int(p[0])
+    e, rest = p[1 : k + 1], p[k + 1 :]
+    n = np.ones(k)
+    n[rest[: len(rest) // 2]] += rest[len(rest) // 2 :]
+    return e, n
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
-    """Similarity of two element sets under the buckets' weights."""
-    both = np.intersect1d(a, b, assume_unique=True)
+    """Similarity of two packed texts: the lesser of both counts of each shingle times its weight, over the greater."""
     shift = np.uint32(32 - BUCKET_BITS)
-    shared = float(weights[both >> shift].sum(dtype=np.float64))
-    union = float(weights[a >> shift].sum(dtype=np.float64) + weights[b >> shift].sum(dtype=np.float64)) - shared
+    (ea, na), (eb, nb) = unpacked(a), unpacked(b)
+    both, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
+    shared = float(weights[both >> shift] @ np.minimum(na[ia], nb[ib]))
+    union = float(weights[ea >> shift] @ na + weights[eb >> shift] @ nb) - shared
     return shared / union if union else 0.0
 
 
@@ -164,26 +177,28 @@ def linked_blocks(strays: DataFrame, parts: DataFrame, sets: DataFrame, weights:
     def compare(key, f: pd.DataFrame) -> pd.DataFrame:
         w, shift = weights.value, np.uint32(32 - BUCKET_BITS)
         f = f.sort_values("key")
-        ids, held = f["key"].to_numpy(), [np.frombuffer(e, np.uint32) for e in f["elements"]]
+        ids, sets_ = f["key"].to_numpy(), [np.frombuffer(e, np.uint32) for e in f["elements"]]
+        held, times = zip(*map(unpacked, sets_))
         of, out = np.flatnonzero(f["member"].to_numpy()), []
         if not len(of) or len(of) == len(f):
             return pd.DataFrame({"a": [], "b": []})
         every = np.concatenate([held[i] for i in of])
         owner = np.repeat(np.arange(len(of)), [len(held[i]) for i in of])
         order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        heavy = np.bincount(owner, w[every >> shift], len(of))
+        every, owner, count = every[order], owner[order], np.concatenate([times[i] for i in of])[order]
+        heavy = np.bincount(owner, w[every >> shift] * count, len(of))
         for i in np.setdiff1d(np.arange(len(f)), of):
             e = held[i]
             lo, hi = np.searchsorted(every, e, "left"), np.searchsorted(every, e, "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], np.repeat(w[e >> shift].astype(np.float64), n), len(of))
-            sim = shared / (heavy + float(w[e >> shift].sum(dtype=np.float64)) - shared)
+            own = w[e >> shift].astype(np.float64)
+            shared = np.bincount(owner[at], np.repeat(own, n) * np.minimum(count[at], np.repeat(times[i], n)), len(of))
+            sim = shared / (heavy + float(own @ times[i]) - shared)
             for j in np.argsort(-sim, kind="stable"):
                 if sim[j] < threshold - 1e-9:
                     break
-                if weighted_jaccard(e, held[of[j]], w) >= threshold:
+                if weighted_jaccard(sets_[i], sets_[of[j]], w) >= threshold:
                     out.append((ids[i], ids[of[j]]))
                     break
         return pd.DataFrame(out, columns=["a", "b"])
@@ -242,15 +257,15 @@ def near_duplicates(
             for text, words in zip(batch.column(1), word_hashes(batch.column(1))):
                 prints.append(fingerprint(words, text))
                 h, n = np.unique(shingle_hashes(words, width), return_counts=True)
-                sets.append(_elements(h, n).tobytes())
+                sets.append(packed(h, n).tobytes())
                 buckets.append(band_keys(mix(sampler.sample(h, n * w[bucket_of(h)])) >> np.uint64(32), picks) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "text_hash", "print", "buckets", "elements"])
 
     def sign_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, w = Sampler(fine_samples, seed=31), weights.value
         for batch in batches:
-            found = [np.frombuffer(e.as_py(), np.uint32) for e in batch.column(1)]
-            keys = [band_keys(mix(sampler.sample(mix(e.astype(np.uint64)), w[e >> np.uint32(32 - BUCKET_BITS)], 1024)) >> np.uint64(32), fine_picks) for e in found]
+            found = [unpacked(np.frombuffer(e.as_py(), np.uint32)) for e in batch.column(1)]
+            keys = [band_keys(mix(sampler.sample(mix(e.astype(np.uint64)), n * w[e >> np.uint32(32 - BUCKET_BITS)], 1024)) >> np.uint64(32), fine_picks) for e, n in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["key", "buckets"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
