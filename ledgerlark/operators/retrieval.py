@@ -77,20 +77,18 @@ def best_of(df: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
 def bm25(asked: DataFrame, df: DataFrame, query_col: str, id_col: str, text_col: str, k: int, k1: float = 1.2, b: float = 0.75, most_terms: int = 10_000) -> DataFrame:
     """The ``k`` best texts for each query by BM25 over runs of ASCII letters, digits and _.
 
-    Lengths and document frequencies are counted over all texts. Where the queries have up to ``most_terms`` distinct terms (their number is
-    counted), a text's terms are counted within its row, and one pass leaves each text's length and the terms that queries have; with more terms all words are exploded and joined with them.
+    Lengths and document frequencies are counted over all texts. Only terms that a query has leave the scan of ``df``: where there are
+    up to ``most_terms`` of them, which is counted, they are broadcast; else they are joined as two tables. What is left is written once.
     """
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "")
     q = asked.select(query_col, F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
     d = df.select(id_col, words(F.col(text_col)).alias("w")).withColumn("n", F.size("w"))
-    terms = [r.term for r in q.select("term").distinct().limit(most_terms + 1).collect()]
-    if len(terms) <= most_terms:
-        known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-        hits = F.transform(F.array_intersect("w", known), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
-        d = cut(d.select(id_col, "n", hits.alias("hits")))
-        tf = d.select(id_col, "n", F.inline("hits"))
-    else:
-        tf = d.select(id_col, "n", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy(id_col, "n", "term").agg(F.count("*").alias("tf"))
+    wanted = q.select("term").distinct()
+    terms = [(r.term,) for r in wanted.limit(most_terms + 1).collect()]
+    if len(terms) <= most_terms:  # a counted number of rows, so they may be broadcast
+        wanted = F.broadcast(df.sparkSession.createDataFrame(terms, "term string"))
+    tf = d.select(id_col, "n", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(id_col, "n", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf)  # read for the frequencies and for the scores
     stats = d.where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     found = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").join(q, "term").join(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
