@@ -153,34 +153,160 @@ def black_litterman(mu: np.ndarray, cov: np.ndarray, views: dict[int, tuple[floa
     return np.linalg.solve(prior + p.T @ np.linalg.inv(omega) @ p, prior @ mu + p.T @ np.linalg.inv(omega) @ q)
 
 
-def optimal_weights(df: DataFrame, cap: float = 0.4, key: str = "portfolio") -> DataFrame:
-    """Weights of a key's symbols by five methods, from the dates that all of them have. A group is one key's aligned returns."""
+def moments(df: DataFrame, key: str = "portfolio", parts: int = 64) -> DataFrame:
+    """``key``, ``symbols`` (sorted), ``n``, ``mean`` and ``covariance`` (row by row, divisor n - 1) of a key's daily returns, over the days on which all of its symbols have one.
+
+    Days are dealt into ``parts`` a key; each part gives its sums and products, and only these meet: symbols squared of numbers a part, whatever the number of days. Rows without a key are left out.
+    """
     with_package(df.sparkSession)
+    x = df.select(F.col(key).alias("k"), "symbol", "d", F.col("ret").cast("double").alias("ret"))
+    kind = x.schema["k"].dataType.simpleString()
+    names = x.groupBy("k").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    known = x.where(F.col("ret").isNotNull() & ~F.isnan("ret"))
+    days = known.groupBy("k", "d").agg(F.sort_array(F.collect_list(F.struct("symbol", "ret"))).alias("r"))
+    whole = days.join(names, "k").where(F.size("r") == F.size("symbols")).select("k", F.pmod(F.xxhash64("d"), F.lit(parts)).alias("part"), F.col("r.ret").alias("r"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.pivot(index="d", columns="symbol", values="ret").dropna()
-        out = []
-        if len(x) >= 20 and x.shape[1] >= 2:
-            mu, cov = x.mean().to_numpy() * 252, np.cov(x.to_numpy().T) * 252 + np.eye(x.shape[1]) * 1e-10
-            made = {"equal": np.full(len(mu), 1 / len(mu)), "minimum_variance": minimum_variance(cov, cap), "maximum_sharpe": maximum_sharpe(mu, cov, cap), "risk_parity": risk_parity(cov), "hierarchical": hierarchical_risk_parity(cov)}
-            out = [(f[key].iloc[0], m, s, float(v)) for m, w in made.items() for s, v in zip(x.columns, w)]
-        return pd.DataFrame(out, columns=[key, "method", "symbol", "weight"])
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        r = np.stack(f["r"].to_numpy())
+        return pd.DataFrame({"k": f["k"].iloc[:1], "n": [len(r)], "s": [r.sum(0)], "p": [(r.T @ r).ravel()]})
+
+    def finish(f: pd.DataFrame) -> pd.DataFrame:
+        n, s = int(f["n"].sum()), f["s"].sum()
+        p = f["p"].sum().reshape(len(s), len(s))
+        cov = (p - np.outer(s, s) / n) / (n - 1) if n > 1 else np.full_like(p, np.nan)
+        return pd.DataFrame({"k": f["k"].iloc[:1], "n": [n], "mean": [s / n], "covariance": [cov.ravel()]})
 
-    return df.select(key, "symbol", "d", "ret").groupBy(key).applyInPandas(run, f"{key} string, method string, symbol string, weight double")
+    sums = whole.groupBy("k", "part").applyInPandas(add, f"k {kind}, n long, s array<double>, p array<double>")
+    found = sums.groupBy("k").applyInPandas(finish, f"k {kind}, n long, mean array<double>, covariance array<double>")
+    return found.join(names, "k").select(F.col("k").alias(key), "symbols", "n", "mean", "covariance")
 
 
 def by_group(df: DataFrame, solve, schema: str, key: str = "portfolio", least: int = 20) -> DataFrame:
-    """``solve(symbols, annual means, annual covariance)`` for each key, over the days that all of its symbols have, at least ``least`` of them; it gives rows without the key."""
-    with_package(df.sparkSession)
+    """``solve(symbols, annual means, annual covariance)`` for each key, over the days that all of its symbols have, at least ``least`` of them; it gives rows without the key.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = f.pivot(index="d", columns="symbol", values="ret").dropna()
-        rows = []
-        if len(x) >= least and x.shape[1] >= 2:
-            rows = solve(list(x.columns), x.mean().to_numpy() * 252, np.cov(x.to_numpy().T) * 252 + np.eye(x.shape[1]) * 1e-10)
-        return pd.DataFrame([(f[key].iloc[0], *r) for r in rows], columns=[key, *(c.split()[0] for c in schema.split(", "))])
+    A key's :func:`moments` reach the solver, not its returns; keys of one symbol have no rows.
+    """
+    m = moments(df, key).where((F.col("n") >= least) & (F.size("symbols") >= 2))
+    kind = m.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for f in batches:
+            rows = []
+            for k, names, mean, cov in zip(f[key], f["symbols"], f["mean"], f["covariance"]):
+                c = np.array(cov, float).reshape(len(names), len(names))
+                rows += [(k, *r) for r in solve(list(names), np.array(mean, float) * 252, c * 252 + np.eye(len(names)) * 1e-10)]
+            yield pd.DataFrame(rows, columns=[key, *(c.split()[0] for c in schema.split(", "))])
 
-    return df.select(key, "symbol", "d", "ret").groupBy(key).applyInPandas(run, f"{key} string, {schema}")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work a key: not to be gathered into few tasks
+    return m.repartition(tasks, key).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def optimal_weights(df: DataFrame, cap: float = 0.4, key: str = "portfolio") -> DataFrame:
+    """Weights of a key's symbols by five methods, from the dates that all of them have."""
+
+    def solve(names, mu, cov):
+        made = {"equal": np.full(len(mu), 1 / len(mu)), "minimum_variance": minimum_variance(cov, cap), "maximum_sharpe": maximum_sharpe(mu, cov, cap), "risk_parity": risk_parity(cov), "hierarchical": hierarchical_risk_parity(cov)}
+        return [(m, s, float(v)) for m, w in made.items() for s, v in zip(names, w)]
+
+    return by_group(df, solve, "method string, symbol string, weight double", key)
+
+
+class Limits:
+    """Long-only weights that add to 1, each at most ``cap``, those of a sector together at most its limit."""
+
+    def __init__(self, sectors: list[str | None], limits: dict[str, float], cap: float):
+        names = sorted({s for s in sectors if s in limits})
+        self.of = np.array([names.index(s) if s in limits else len(names) for s in sectors])
+        self.most = np.array([*(limits[s] for s in names), np.inf])
+        self.cap = cap
+
+    def feasible(self) -> bool:
+        return bool(np.minimum(np.bincount(self.of, minlength=len(self.most)) * self.cap, self.most).sum() >= 1 - 1e-12)
+
+    def nearest(self, v: np.ndarray) -> np.ndarray:
+        """The nearest such weights to ``v``. At a common shift each sector holds the lesser of its limit and its clipped sum, so the shift is found
+        first, by bisection on the total, and then a further shift in each sector that its limit binds."""
+
+        def level(x: np.ndarray, total) -> float:
+            lo, hi = x.min() - self.cap - 1, x.max()
+            for _ in range(60):
+                m = (lo + hi) / 2
+                lo, hi = (m, hi) if total(np.clip(x - m, 0, self.cap)) else (lo, m)
+            return (lo + hi) / 2
+
+        held = lambda w: np.bincount(self.of, w, len(self.most))
+        v = v - level(v, lambda w: np.minimum(held(w), self.most).sum() > 1)
+        w = np.clip(v, 0, self.cap)
+        for s in np.flatnonzero(held(w) > self.most):
+            at = self.of == s
+            w[at] = np.clip(v[at] - level(v[at], lambda x: x.sum() > self.most[s]), 0, self.cap)
+        return w
+
+
+def limited_weights(mu: np.ndarray, cov: np.ndarray, limits: Limits, risk_free: float | None = None, steps: int = 500) -> np.ndarray:
+    """Least variance under ``limits``; with ``risk_free`` the greatest Sharpe ratio, from the best of a line of rewards, each by projected gradient."""
+    slope = 0.5 / max(np.linalg.eigvalsh(cov)[-1], 1e-12)
+
+    def least(reward: float, w: np.ndarray) -> np.ndarray:
+        for _ in range(steps):
+            w = limits.nearest(w - slope * (2 * cov @ w - reward * mu))
+        return w
+
+    w = least(0.0, limits.nearest(np.full(len(mu), 1 / len(mu))))
+    if risk_free is None:
+        return w
+    scale, best = np.trace(cov) / len(cov) / max(np.abs(mu).max(), 1e-12), None
+    for k in np.linspace(0, 20, 21):
+        w = least(k * scale, w)
+        ratio = (mu @ w - risk_free) / np.sqrt(w @ cov @ w)
+        if best is None or ratio > best[0]:
+            best = ratio, w
+    return best[1]
+
+
+def sector_limited_weights(df: DataFrame, sectors: DataFrame, limits: dict[str, float], cap: float = 0.4, risk_free: float = 0.07, key: str = "portfolio") -> DataFrame:
+    """Weights of a key's symbols of least variance (``min_volatility``) and greatest Sharpe ratio (``max_sharpe``), within a cap for each symbol and a limit for each sector.
+
+    ``sectors``: ``symbol``, ``sector``, one row a symbol, as many as are traded; they join the returns as ``sector:symbol`` names. Symbols without a sector have no limit but the cap.
+    A key whose limits cannot hold the whole of 1 has no rows.
+    """
+    tagged = df.join(sectors.select("symbol", "sector"), "symbol", "left").withColumn("symbol", F.concat(F.coalesce("sector", F.lit("")), F.lit("\0"), F.col("symbol"))).drop("sector")
+
+    def solve(names, mu, cov):
+        within = Limits([n.split("\0")[0] for n in names], limits, cap)
+        if not within.feasible():
+            return []
+        made = {"min_volatility": limited_weights(mu, cov, within), "max_sharpe": limited_weights(mu, cov, within, risk_free)}
+        return [(m, n.split("\0")[1], n.split("\0")[0] or None, float(v)) for m, w in made.items() for n, v in zip(names, w)]
+
+    return by_group(tagged, solve, "method string, symbol string, sector string, weight double", key)
+
+
+def correlation_spectrum(df: DataFrame, key: str = "portfolio", least: int = 10, ill: float = 10.0) -> DataFrame:
+    """Of each key's symbols, over the days that all have (at least ``least``): ``observations``, falling ``eigenvalues`` of their correlation matrix, ``condition_number`` (infinite if the last is not
+    positive), ``ill_diversified`` (over ``ill``), the mean correlation of pairs, and the highest and lowest pair with theirs (ties: first by name). Symbols without variance leave their key without rows."""
+    m = moments(df, key).where((F.col("n") >= least) & (F.size("symbols") >= 2))
+    kind = m.schema[key].dataType.simpleString()
+    schema = "observations long, eigenvalues array<double>, condition_number double, ill_diversified boolean, mean_correlation double, highest_pair string, highest double, lowest_pair string, lowest double"
+
+    def run(batches):
+        for f in batches:
+            rows = []
+            for k, names, n, cov in zip(f[key], f["symbols"], f["n"], f["covariance"]):
+                c = np.array(cov, float).reshape(len(names), len(names))
+                sd = np.sqrt(np.diag(c))
+                if not (sd > 0).all():
+                    continue
+                c = c / np.outer(sd, sd)
+                e = np.linalg.eigvalsh(c)[::-1]
+                i, j = np.triu_indices(len(names), 1)
+                r, cond = c[i, j], float(e[0] / e[-1]) if e[-1] > 0 else float("inf")
+                hi, lo = int(np.argmax(r)), int(np.argmin(r))
+                pair = lambda p: f"{names[i[p]]}-{names[j[p]]}"
+                rows.append((k, int(n), e, cond, cond > ill, float(r.mean()), pair(hi), float(r[hi]), pair(lo), float(r[lo])))
+            yield pd.DataFrame(rows, columns=[key, *(c.split()[0] for c in schema.split(", "))])
+
+    return m.mapInPandas(run, f"{key} {kind}, {schema}")
 
 
 def frontier(mu: np.ndarray, cov: np.ndarray, points: int = 20, cap: float = 1.0) -> list[tuple[float, float]]:

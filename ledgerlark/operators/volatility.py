@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.models import fit_garch, garch_filter
@@ -77,6 +79,90 @@ def rolling_garch(df: DataFrame, window: int = 252, step: int = 21, key: str = "
     return out.withColumnRenamed("k", key)
 
 
+#: The mean of the absolute value of a standard normal number.
+_MEAN_ABS = math.sqrt(2 / math.pi)
+MODELS = ("garch", "gjr", "egarch")
+
+
+def filtered(model: str, e: np.ndarray, target: float, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the negative log-likelihood (without its constant) of residuals ``e`` for each row (alpha, gamma, beta) of ``p``, infinite where a row is not stationary, and the variance after the last.
+
+    The long-run variance is held at ``target``. ``garch``: v' = omega + alpha e^2 + beta v. ``gjr``: alpha grows by gamma after losses. ``egarch``: ln v' = omega + alpha (abs(z) - mean) + gamma z + beta ln v.
+    """
+    a, g, b = p.T
+    with np.errstate(all="ignore"):
+        if model == "egarch":
+            ok, log = np.abs(b) < 0.999, np.full(len(p), math.log(target))
+            score, omega = np.zeros(len(p)), (1 - b) * math.log(target)
+            for x in e:
+                z = x * np.exp(-0.5 * log)
+                score += log + z * z
+                log = omega + a * (np.abs(z) - _MEAN_ABS) + g * z + b * log
+            v = np.exp(log)
+        else:
+            g = g if model == "gjr" else 0 * g
+            ok = (a >= 0) & (a + g >= 0) & (b >= 0) & (a + g / 2 + b < 0.999)
+            score, v, omega = np.zeros(len(p)), np.full(len(p), target), target * (1 - a - g / 2 - b)
+            for x in e:
+                score += np.log(v) + x * x / v
+                v = omega + (a + g * (x < 0)) * (x * x) + b * v
+    return np.where(ok & np.isfinite(score), score, np.inf), v
+
+
+def fit_volatility(model: str, r: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, float, float]:
+    """(alpha, gamma, beta), log-likelihood and next variance by the greatest likelihood over a grid, made finer ``rounds`` times around its best."""
+    e, target = r - r.mean(), float(r.var())
+    gammas = np.arange(-0.3, 0.31, 0.1) if model == "egarch" else np.arange(-0.1, 0.31, 0.1) if model == "gjr" else np.zeros(1)
+    alphas = np.arange(0.0, 0.51, 0.06)
+    p = np.array([(a, g, b) for a in alphas for g in gammas for b in np.arange(0.0, 0.99, 0.08)])
+    step, best = np.array([0.06, 0.1 if len(gammas) > 1 else 0.0, 0.08]), None
+    for _ in range(rounds + 1):
+        score, v = filtered(model, e, target, p)
+        k = int(score.argmin())
+        if best is None or score[k] < best[1]:
+            best = p[k], float(score[k]), float(v[k])
+        step = step / 2.5
+        at = [(i, j, k) for i in range(-2, 3) for j in (range(-2, 3) if step[1] else (0,)) for k in range(-2, 3)]
+        p = best[0] + np.array(at) * step
+    return best[0], -0.5 * (best[1] + len(r) * math.log(2 * math.pi)), best[2]
+
+
+def volatility_models(df: DataFrame, models: Sequence[str] = MODELS, steps: int = 5, levels: Sequence[float] = (0.95, 0.99), key: str = "portfolio", order: str = "d", value: str = "ret", least: int = 30) -> DataFrame:
+    """GARCH(1,1), GJR-GARCH(1,1,1) and EGARCH(1,1,1) of each key: parameters, log-likelihood, AIC and BIC, whether it is the ``best`` (least AIC) of its key, volatilities forecast ``steps`` rows on,
+    and the next row's value at risk and expected shortfall at ``levels`` (signed: losses are negative), for normal shocks.
+
+    Forecasts go back to the long-run variance (those of EGARCH in logarithms). A key's series is one task for each model, of days; longer ones by :func:`rolling_garch`. Nulls are left out; keys of fewer
+    than ``least`` values or without variance have no rows.
+    """
+    with_package(df.sparkSession)
+    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("r"), F.explode(F.array(*map(F.lit, models))).alias("model"))
+    normal = NormalDist()
+    names = ["k", "model", "n", "omega", "alpha", "gamma", "beta", "loglikelihood", "aic", "bic", "volatilities", "value_at_risk", "expected_shortfall"]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        r, model = f.sort_values("o", kind="stable")["r"].to_numpy(float), f["model"].iloc[0]
+        if len(r) < least or r.std() == 0:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
+        (a, g, b), ll, v = fit_volatility(model, r)
+        target = float(r.var())
+        stay = b if model == "egarch" else a + b + (g / 2 if model == "gjr" else 0)
+        omega = (1 - b) * math.log(target) if model == "egarch" else target * (1 - stay)
+        ahead = [v]
+        for _ in range(steps - 1):
+            ahead.append(math.exp(omega + b * math.log(ahead[-1])) if model == "egarch" else omega + stay * ahead[-1])
+        sd, mean, size = math.sqrt(v), float(r.mean()), 4 if model == "garch" else 5
+        z = [normal.inv_cdf(1 - level) for level in levels]
+        tails = [mean - sd * normal.pdf(q) / (1 - level) for q, level in zip(z, levels)]
+        row = [f["k"].iloc[0], model, len(r), omega, a, g if model != "garch" else None, b, ll, 2 * size - 2 * ll, size * math.log(len(r)) - 2 * ll, [math.sqrt(y) for y in ahead], [mean + q * sd for q in z], tails]
+        return pd.DataFrame([row], columns=names)
+
+    kind = x.schema["k"].dataType.simpleString()
+    numbers = "omega double, alpha double, gamma double, beta double, loglikelihood double, aic double, bic double, volatilities array<double>, value_at_risk array<double>, expected_shortfall array<double>"
+    made = x.groupBy("k", "model").applyInPandas(run, f"k {kind}, model string, n long, {numbers}")
+    best = F.row_number().over(Window.partitionBy("k").orderBy("aic", "model")) == 1  # as many rows a key as there are models
+    return made.withColumn("best", best).withColumnRenamed("k", key)
+
+
 def chi2_sf(x: float, k: int) -> float:
     """The chance that a chi-square of ``k`` degrees exceeds ``x``: the regularised upper incomplete gamma function of k/2 and x/2, by its series or its continued fraction."""
     a, x = k / 2, x / 2

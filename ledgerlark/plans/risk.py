@@ -244,6 +244,82 @@ def f20_isolation_forest(spark, d):
     return N.isolation_forest(price_features(X.bars(spark, d)), ["ret_1", "ret_5", "vol_5", "range_z", "gap"])
 
 
+def _bar_features(spark, d):
+    return X.bars(spark, d).select("symbol", "d", "open", "high", "low", "close", "volume")
+
+
+_BAR_COLUMNS = ["open", "high", "low", "close", "volume"]
+_Z_FLAG = " or ".join(f"""coalesce(abs(({c} - avg({c}) over w) / nullif(stddev_pop({c}) over w, 0)) > 3, false)""" for c in ("x.open", "x.high", "x.low", 'x."close"', "x.volume"))
+_IQR_FLAG = " or ".join(f"{c} < quantile_cont({c}, 0.25) over w - 1.5 * (quantile_cont({c}, 0.75) over w - quantile_cont({c}, 0.25) over w) or {c} > quantile_cont({c}, 0.75) over w + 1.5 * (quantile_cont({c}, 0.75) over w - quantile_cont({c}, 0.25) over w)" for c in ("x.open", "x.high", "x.low", 'x."close"', "x.volume"))
+
+
+@query(f"with {X.BARS} select symbol, d, {_Z_FLAG} as by_z, {_IQR_FLAG} as by_iqr from bars x window w as (partition by symbol)")
+def f20_statistical_flags(spark, d):
+    """The members of the ensemble that are not forests: days of a segment on which any column of its bar is far from its mean, or beyond its quartiles."""
+    return N.statistical_flags(_bar_features(spark, d), _BAR_COLUMNS)
+
+
+@query()
+def f20_bar_ensemble(spark, d):
+    """Forest, z-scores and quartile fences over the columns of segments' bars."""
+    return N.ensemble(_bar_features(spark, d), _BAR_COLUMNS)
+
+
+@query()
+def f20_price_ensemble(spark, d):
+    """The same over price features."""
+    from ledgerlark.operators.indicators import price_features
+
+    x = price_features(X.bars(spark, d))
+    return N.ensemble(x, [c for c in x.columns if c not in ("symbol", "d")])
+
+
+@query()
+def f20_volume_ensemble(spark, d):
+    """The same over volume features."""
+    from ledgerlark.operators.indicators import volume_features
+
+    x = volume_features(X.bars(spark, d))
+    return N.ensemble(x, [c for c in x.columns if c not in ("symbol", "d")])
+
+
+@query()
+def f20_calibrated(spark, d):
+    """The threshold that lets through 2 % of a segment's bars, from their own scores."""
+    return N.threshold(N.isolation_scores(_bar_features(spark, d), _BAR_COLUMNS), 0.02)
+
+
+@query(f"""with {X.RETURNS}, g as (select *, substring(symbol, 1, 7) as portfolio from returns), c as (select portfolio, count(distinct symbol) as m from g group by 1),
+ days as (select portfolio, d from g group by 1, 2 having count(*) = (select m from c where c.portfolio = g.portfolio)), x as (select * from g semi join days using (portfolio, d))
+select a.portfolio, a.symbol as a, b.symbol as b, count(*) as n, round(covar_samp(a.ret, b.ret) * 1e6, 5) as covariance_e6 from x a join x b on a.portfolio = b.portfolio and a.d = b.d and a.symbol <= b.symbol group by 1, 2, 3 having count(*) >= 2""")
+def f15_covariances(spark, d):
+    """The matrices that weights and the spectrum are made from: covariances over the days that all symbols of a group have."""
+    from ledgerlark.operators.models import moments
+
+    size = F.size("symbols")
+    x = moments(_grouped(spark, d)).where("n >= 2").select("portfolio", "symbols", "n", size.alias("m"), F.posexplode("covariance").alias("p", "c"))
+    i, j = F.floor(F.col("p") / F.col("m")).cast("int"), F.col("p") % F.col("m")
+    return x.where(i <= j).select("portfolio", F.col("symbols")[i].alias("a"), F.col("symbols")[j].alias("b"), "n", F.round(F.col("c") * 1e6, 5).alias("covariance_e6"))
+
+
+@query()
+def f15_spectrum(spark, d):
+    """Eigenvalues and condition number of each group's correlation matrix."""
+    from ledgerlark.operators.models import correlation_spectrum
+
+    return correlation_spectrum(_grouped(spark, d))
+
+
+@query()
+def f21_sector_limits(spark, d):
+    """Least variance and greatest Sharpe ratio of each group of brands, no symbol over 0.4 and no sector over 0.6."""
+    from ledgerlark.operators.models import sector_limited_weights
+
+    sectors = X.sectors(spark, d)
+    names = [r.p_type for r in X.table(spark, d, "part").select("p_type").distinct().collect()]  # a handful of kinds of part
+    return sector_limited_weights(_grouped(spark, d), sectors, dict.fromkeys(names, 0.6))
+
+
 @query()
 def f06_garch(spark, d):
     """GARCH(1,1) a portfolio by likelihood, with a 5-day forecast."""

@@ -22,6 +22,12 @@ def w29_rolling_garch(spark, d):
     return O.rolling_garch(X.portfolio_returns(spark, d), key="portfolio")
 
 
+@query()
+def f06_volatility_models(spark, d):
+    """GARCH, GJR-GARCH and EGARCH of each segment's returns, the best by AIC, forecasts and conditional value at risk."""
+    return O.volatility_models(_bar_returns(spark, d), key="symbol")
+
+
 @query()
 def f07_garch_diagnostics(spark, d):
     """Tests of each portfolio's returns, standardised by its fitted GARCH(1,1)."""
