@@ -210,3 +210,20 @@ def chunked(df: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, chunk long, text string").withColumnRenamed("id", id_col)
+
+
+#: Headings that an answer must not carry.
+ANSWER_HEADINGS = ["Executive Summary", "Detailed Analysis", "Confidence Level", "Sources Used", "Key Takeaways", "Suggested Follow-up", "Agents:", "Confidence:", "Sources:", "Agent:"]
+
+
+def without_phrases(text: Column, phrases: list[str]) -> Column:
+    """Each phrase taken out wherever it stands, one phrase after the other, then white space at the ends; null stays null."""
+    for p in phrases:
+        text = F.replace(text, F.lit(p), F.lit(""))
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def batched(values: Column, size: int) -> Column:
+    """An array's values in arrays of ``size``, the last of what is left; none for an empty one, null for null."""
+    n = F.ceil(F.size(values) / size).cast("int")
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * size + 1, F.lit(size)))).when(values.isNotNull(), F.slice(F.array(values), 1, 0))

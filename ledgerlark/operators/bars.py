@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,8 @@ def trading_hours(ts, zone: str = "Asia/Kolkata"):
     local = F.from_utc_timestamp(ts, zone)
     minute = F.hour(local) * 60 + F.minute(local)
     return minute.between(555, 930) & F.dayofweek(local).between(2, 6)
+
+
+def in_zone(ts: Column, zone: str, of: str | None = None) -> Column:
+    """Local times of ``zone``: a time without a zone is taken as local already, one of the zone ``of`` is converted. Null stays null."""
+    return ts if of is None else F.convert_timezone(F.lit(of), F.lit(zone), ts)

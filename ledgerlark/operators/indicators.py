@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.order import numbered
 from ledgerlark.session import with_package
 
 
@@ -199,3 +200,16 @@ def macd_reseeded(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9
     g = x.groupBy("symbol").agg(line.alias("macd_line"), later.alias("signal_line"))
     g = g.withColumn("signal_line", F.coalesce("signal_line", "macd_line")).withColumn("histogram", F.col("macd_line") - F.col("signal_line"))
     return g.withColumn("signal", F.when(F.col("histogram") > 0, "bullish").otherwise("bearish"))
+
+
+def ema_from_mean(df: DataFrame, period: int, key: str = "symbol", order: str = "d", value: str = "close") -> DataFrame:
+    """``key`` and ``ema``: the last exponential mean of each key, begun from the mean of its first ``period`` values.
+
+    The fold is a weighted sum: a value k rows before the last weighs m (1 - m)^k, m = 2 / (period + 1), and the start what is left. So a key's rows are numbered by
+    one distributed sort and summed, and no key is folded in one task. The first sum is divided by ``period`` also where there are fewer values. Nulls are left out.
+    """
+    x = numbered(df.where(F.col(value).isNotNull()).select(key, order, value), key, order)
+    m = 2 / (period + 1)
+    rest = F.col("rows") - 1 - F.col("idx")
+    start = F.when(F.col("idx") < period, F.col(value) / period * F.pow(F.lit(1 - m), F.greatest(F.lit(0), F.col("rows") - period)))
+    return x.groupBy(key).agg(F.sum(F.coalesce(start, F.col(value) * m * F.pow(F.lit(1 - m), rest))).alias("ema"))

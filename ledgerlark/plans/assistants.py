@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import interactions as I
 from ledgerlark.functions import news as N
+from ledgerlark.functions import text as T
 from ledgerlark.operators import retrieval as R
 from ledgerlark.operators import search as S
 from ledgerlark.plans import fixtures as X
@@ -146,3 +147,55 @@ def t28_insights(spark, d):
     """Preferences, facts and portfolio states to be remembered of each interaction."""
     x = _interactions(spark, d).select("id", F.posexplode(I.insights(F.col("question"), F.col("agents"))).alias("place", "i"))
     return x.select("id", "place", "i.content", "i.kind", "i.tags", "i.importance")
+
+
+@query(f"with {X.BARS}, x as (select symbol, \"close\" as c, row_number() over (partition by symbol order by d) as i, count(*) over (partition by symbol) as n from bars) " + """
+select symbol, round(sum(case when i <= 20 then c / 20 * power(1 - 2.0::double / 21, greatest(0, n - 20)) else c * 2.0::double / 21 * power(1 - 2.0::double / 21, n - i) end), 4) as ema from x group by 1""")
+def w04_ema_from_mean(spark, d):
+    """The last 20-day exponential mean of each segment, begun from the mean of its first 20 days."""
+    from ledgerlark.operators.indicators import ema_from_mean
+
+    return ema_from_mean(X.bars(spark, d), 20).select("symbol", F.round("ema", 4).alias("ema"))
+
+
+@query(f"""with {X.BARS}, x as (select symbol, d, ln("close" / lag("close") over w + 1e-10) as r1, ln("close" / lag("close", 5) over w + 1e-10) as r5, case when volume = lag(volume) over w then null else 1 / (volume - lag(volume) over w) end as v from bars window w as (partition by symbol order by d))
+select symbol, d, round(coalesce(case when isfinite(r1) then r1 end, 0), 6) as r1, round(coalesce(case when isfinite(r5) then r5 end, 0), 6) as r5, round(coalesce(case when isfinite(v) then v end, 0), 6) as v from x""")
+def w20_filled(spark, d):
+    """Features whose nulls and infinite values are 0."""
+    from pyspark.sql import Window
+
+    from ledgerlark.operators.indicators import finite
+
+    w = Window.partitionBy("symbol").orderBy("d")
+    logs = lambda n: F.ln(F.col("close") / F.lag("close", n).over(w) + 1e-10)
+    step = F.try_divide(F.lit(1.0), F.col("volume") - F.lag("volume").over(w))
+    x = X.bars(spark, d).select("symbol", "d", logs(1).alias("r1"), logs(5).alias("r5"), step.alias("v"))
+    return x.select("symbol", "d", *(F.round(finite(c), 6).alias(c) for c in ("r1", "r5", "v")))
+
+
+@query("with x as (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents) select doc_id, ceil(len(w) / 50.0)::int as batches, array_to_string(w[((ceil(len(w) / 50.0) - 1) * 50 + 1)::int:], ' ') as last from x")
+def t37_batches(spark, d):
+    """Words of whole documents in lists of 50."""
+    from ledgerlark.functions.text import batched
+
+    x = X.table(spark, d, "documents").select("doc_id", batched(F.split(F.coalesce("text", F.lit("")), " "), 50).alias("b"))
+    return x.select("doc_id", F.size("b").alias("batches"), F.array_join(F.element_at("b", -1), " ").alias("last"))
+
+
+@query("select event_id, ts - interval 330 minute as utc, ts + interval 330 minute as local from events")
+def t38_zones(spark, d):
+    """Events' times, taken as of Asia/Kolkata, in UTC; and taken as of UTC, there."""
+    from ledgerlark.operators.bars import in_zone
+
+    return X.table(spark, d, "events").select("event_id", in_zone(F.col("ts"), "UTC", "Asia/Kolkata").alias("utc"), in_zone(F.col("ts"), "Asia/Kolkata", "UTC").alias("local"))
+
+
+_HEADED = "case turn % 3 when 0 then 'Executive Summary' || chr(10) || text when 1 then text || ' Sources: ' || role else text end"
+
+
+@query(f"select conv_id, turn, regexp_replace({''.join('replace(' for _ in T.ANSWER_HEADINGS)}{_HEADED}{''.join(f", '{p}', '')" for p in T.ANSWER_HEADINGS)}, '^\\s+|\\s+$', '', 'g') as answer from conversations")
+def t40_without_headings(spark, d):
+    """Turns of conversations, headed as answers are, without the headings."""
+    x = X.table(spark, d, "conversations")
+    headed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Executive Summary\n"), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" Sources: "), "role")).otherwise(F.col("text"))
+    return x.select("conv_id", "turn", T.without_phrases(headed, T.ANSWER_HEADINGS).alias("answer"))

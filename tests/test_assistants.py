@@ -19,7 +19,7 @@ def test_interactions(spark):
     a = F.col("agents")
     df = spark.createDataFrame(rows, AGENTS).select("id", I.event_kind(a).alias("k"), I.sentiment(a).alias("s"), I.importance(a).alias("w"), I.tickers(a).alias("t"), I.amounts(a).alias("m"), I.insights(F.col("question"), a).alias("i"))
     got = {r.id: r for r in df.collect()}
-    assert [(r.k, r.s, r.w) for r in (got[i] for i in (1, 2, 3, 4))] == [("general_query", "neutral", 0.3), ("general_query", "neutral", 0.3), ("watchlist_update", "positive", 0.3), ("risk_assessment", "neutral", 1.0)]
+    assert [(r.k, r.s, r.w) for r in (got[i] for i in (1, 2, 3, 4))] == [("general_query", "neutral", 0.3), ("general_query", "neutral", 0.3), ("watchlist_update", "positive", 0.4), ("risk_assessment", "neutral", 1.0)]
     assert got[3].t == ["A", "B", "C"] and got[3].m == [2.0] and got[1].t == [] and got[1].m == [] and got[1].i == []
     assert [(i.kind, i.content) for i in got[2].i] == [("preference", "User preference: What I LIKE")]
     assert [(i.kind, i.content, i.tags) for i in got[4].i[1:]] == [("financial_fact", "unknown | Market cap: 9", ["fundamentals"]), ("portfolio_state", "Portfolio has 1 positions", ["portfolio", "holdings"])]
@@ -67,3 +67,22 @@ def test_context(spark):
     df = spark.createDataFrame(rows, "q string, id int, score double, kind string, title string, source string, content string")
     text = S.context(df, "q", "id", most=2).first().context
     assert text == "[Document 1] Type:  | Source: s | Relevance: 90.00%\n\n\n---\n\n[Document 2] Type: k | Title: T | Relevance: 50.00%\n" + "x" * 2000 + "\n... [truncated]"
+
+
+def test_small_parts(spark):
+    from ledgerlark.functions import text as T
+    from ledgerlark.operators.indicators import ema_from_mean
+
+    df = spark.createDataFrame([(1, [1, 2, 3, 4, 5], " Agents: a Agent:"), (2, [], ""), (3, None, None)], "id int, v array<int>, t string")
+    got = {r.id: (r.b, r.t) for r in df.select("id", T.batched(F.col("v"), 2).alias("b"), T.without_phrases(F.col("t"), T.ANSWER_HEADINGS).alias("t")).collect()}
+    assert got == {1: ([[1, 2], [3, 4], [5]], "a"), 2: ([], ""), 3: (None, None)}
+    series = {"a": [1.0, 2.0, 4.0, 8.0, 3.0], "b": [6.0]}
+
+    def fold(p, n=3):
+        e = sum(p[:n]) / n
+        for x in p[n:]:
+            e += (x - e) * 2 / (n + 1)
+        return e
+
+    rows = spark.createDataFrame([(k, i, x) for k, p in series.items() for i, x in enumerate(p)] + [("a", 9, None)], "symbol string, d int, close double")
+    assert {r.symbol: r.ema for r in ema_from_mean(rows, 3).collect()} == {k: pytest.approx(fold(p)) for k, p in series.items()}
