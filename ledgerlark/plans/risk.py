@@ -291,7 +291,7 @@ def f20_calibrated(spark, d):
 
 @query(f"""with {X.RETURNS}, g as (select *, substring(symbol, 1, 7) as portfolio from returns), c as (select portfolio, count(distinct symbol) as m from g group by 1),
  days as (select portfolio, d from g group by 1, 2 having count(*) = (select m from c where c.portfolio = g.portfolio)), x as (select * from g semi join days using (portfolio, d))
-select a.portfolio, a.symbol as a, b.symbol as b, count(*) as n, round(covar_samp(a.ret, b.ret) * 1e6, 5) as covariance_e6 from x a join x b on a.portfolio = b.portfolio and a.d = b.d and a.symbol <= b.symbol group by 1, 2, 3 having count(*) >= 2""")
+select a.portfolio, a.symbol as a, b.symbol as b, count(*) as n, round(covar_samp(a.ret, b.ret) * 1e6, 5) + 0 as covariance_e6 from x a join x b on a.portfolio = b.portfolio and a.d = b.d and a.symbol <= b.symbol group by 1, 2, 3 having count(*) >= 2""")
 def f15_covariances(spark, d):
     """The matrices that weights and the spectrum are made from: covariances over the days that all symbols of a group have."""
     from ledgerlark.operators.models import moments
@@ -299,7 +299,7 @@ def f15_covariances(spark, d):
     size = F.size("symbols")
     x = moments(_grouped(spark, d)).where("n >= 2").select("portfolio", "symbols", "n", size.alias("m"), F.posexplode("covariance").alias("p", "c"))
     i, j = F.floor(F.col("p") / F.col("m")).cast("int"), F.col("p") % F.col("m")
-    return x.where(i <= j).select("portfolio", F.col("symbols")[i].alias("a"), F.col("symbols")[j].alias("b"), "n", F.round(F.col("c") * 1e6, 5).alias("covariance_e6"))
+    return x.where(i <= j).select("portfolio", F.col("symbols")[i].alias("a"), F.col("symbols")[j].alias("b"), "n", (F.round(F.col("c") * 1e6, 5) + 0.0).alias("covariance_e6"))
 
 
 @query()
