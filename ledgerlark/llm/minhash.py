@@ -158,6 +158,29 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
     return shared / union if union else 0.0
 
 
+class SetIndex:
+    """Packed texts of a block, found by their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], weights: np.ndarray):
+        held, times = zip(*map(unpacked, sets))
+        every, owner = np.concatenate(held), np.repeat(np.arange(len(sets)), [len(h) for h in held])
+        order = np.argsort(every, kind="stable")
+        self.weights, self.every, self.owner, self.count = weights, every[order], owner[order], np.concatenate(times)[order]
+        self.heavy = np.bincount(self.owner, self._weight(self.every) * self.count, len(sets))
+
+    def _weight(self, e: np.ndarray) -> np.ndarray:
+        return self.weights[e >> np.uint32(32 - BUCKET_BITS)].astype(np.float64)
+
+    def similarities(self, text: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of a packed text with each text of the block."""
+        e, times = unpacked(text)
+        lo, hi = np.searchsorted(self.every, e, "left"), np.searchsorted(self.every, e, "right")
+        n, own = hi - lo, self._weight(e)
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], np.repeat(own, n) * np.minimum(self.count[at], np.repeat(times, n)), len(self.heavy))
+        return shared / (self.heavy + float(own @ times) - shared)
+
+
 def linked_blocks(strays: DataFrame, parts: DataFrame, sets: DataFrame, weights: Broadcast, threshold: float, block: int) -> DataFrame:
     """Links (``a``, ``b``) of entries with components that they are not in: one for each block of the component's members that has a link.
 
@@ -175,26 +198,15 @@ def linked_blocks(strays: DataFrame, parts: DataFrame, sets: DataFrame, weights:
     work = members.unionByName(others).join(sets.hint("merge"), "key")
 
     def compare(key, f: pd.DataFrame) -> pd.DataFrame:
-        w, shift = weights.value, np.uint32(32 - BUCKET_BITS)
+        w = weights.value
         f = f.sort_values("key")
         ids, sets_ = f["key"].to_numpy(), [np.frombuffer(e, np.uint32) for e in f["elements"]]
-        held, times = zip(*map(unpacked, sets_))
         of, out = np.flatnonzero(f["member"].to_numpy()), []
         if not len(of) or len(of) == len(f):
             return pd.DataFrame({"a": [], "b": []})
-        every = np.concatenate([held[i] for i in of])
-        owner = np.repeat(np.arange(len(of)), [len(held[i]) for i in of])
-        order = np.argsort(every, kind="stable")
-        every, owner, count = every[order], owner[order], np.concatenate([times[i] for i in of])[order]
-        heavy = np.bincount(owner, w[every >> shift] * count, len(of))
+        index = SetIndex([sets_[i] for i in of], w)
         for i in np.setdiff1d(np.arange(len(f)), of):
-            e = held[i]
-            lo, hi = np.searchsorted(every, e, "left"), np.searchsorted(every, e, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            own = w[e >> shift].astype(np.float64)
-            shared = np.bincount(owner[at], np.repeat(own, n) * np.minimum(count[at], np.repeat(times[i], n)), len(of))
-            sim = shared / (heavy + float(own @ times[i]) - shared)
+            sim = index.similarities(sets_[i])
             for j in np.argsort(-sim, kind="stable"):
                 if sim[j] < threshold - 1e-9:
                     break
@@ -206,8 +218,38 @@ def linked_blocks(strays: DataFrame, parts: DataFrame, sets: DataFrame, weights:
     return work.groupBy("main", "mb", "sb").applyInPandas(compare, "a long, b long")
 
 
+def linked_buckets(opened: DataFrame, sets: DataFrame, weights: Broadcast, threshold: float, block: int) -> DataFrame:
+    """Links (``a``, ``b``) of entries that share a bucket and are in different components: enough to join all components that have one.
+
+    ``opened``: ``bucket``, ``key`` and ``component``. A bucket is cut into blocks of about ``block`` entries, and each pair of its blocks
+    is a group: a bucket of any size is compared in full, no task holds more than two blocks, and no pairs are rows.
+    """
+    plan = opened.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = opened.join(plan, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    work = dealt.select("bucket", "key", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets.hint("merge"), "key")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        w, (_, lo, hi) = weights.value, (x.as_py() for x in key)
+        t = t.sort_by("key")
+        ids, parts, own = (t[c].to_numpy().copy() for c in ("key", "component", "own"))
+        sets_, (of, others) = [np.frombuffer(e.as_py(), np.uint32) for e in t["elements"]], (np.flatnonzero(own == x) for x in (lo, hi))
+        index, out = SetIndex([sets_[i] for i in of], w) if len(of) and len(others) else None, []
+        for i in others if index else ():
+            apart = parts[of] != parts[i]
+            if apart.any():
+                for j in of[apart & (index.similarities(sets_[i]) >= threshold - 1e-9)]:
+                    # what one link has joined needs no other
+                    if parts[j] != parts[i] and weighted_jaccard(sets_[i], sets_[j], w) >= threshold:
+                        out.append((ids[i], ids[j]))
+                        parts[parts == parts[j]] = parts[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return work.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, samples: int = 64, bands: int = 40, rows: int = 6, fine_samples: int = 384, fine_bands: int = 256, fine_rows: int = 14, crowded: int = 64, idf_strength: float = 0.5, open_pairs: float = 8.0, block: int = 512
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, samples: int = 64, bands: int = 40, rows: int = 6, fine_samples: int = 384, fine_bands: int = 256, fine_rows: int = 14, crowded: int | None = 64, idf_strength: float = 0.5, open_pairs: float = 8.0, block: int = 512
 ) -> DataFrame:
     """Classes of documents connected by weighted Jaccard similarity of ``threshold`` or more over TF-IDF shingles.
 
@@ -228,10 +270,11 @@ def near_duplicates(
     independent of the first, and are dealt anew into ``fine_bands`` bands of ``fine_rows`` of these. Of
     pairs at similarity 0.8 these miss 0.05 %, the first bands 0.08 % (computed), so a crowded bucket
     loses hardly more than a small one, while texts that share only a passage seldom meet there. In what is
-    open then, the pairs of entries in different components are compared; if those were more than
-    ``open_pairs`` times the bucket entries, 1, 2, 4, ... further centres of each bucket are compared with
-    it first, which leaves fewer components. So no link between entries that met in these buckets is lost,
-    and a group of n copies gives on the order of n pairs.
+    open then, entries in different components are compared in blocks again (see :func:`linked_buckets`); if
+    their pairs were more than ``open_pairs`` times the bucket entries, 1, 2, 4, ... further centres of each
+    bucket are compared with it first, which leaves fewer components. So no link between entries that met in
+    these buckets is lost, and a group of n copies gives on the order of n pairs. With ``crowded`` None no bucket
+    is dealt anew: whatever is open is compared in full, which costs the square of a bucket's open entries.
 
     Texts are read twice: for the document frequencies, and for an entry's bands and its set of
     shingles, which go to tables in the shared folder and are dropped as the work ends.
@@ -328,30 +371,28 @@ def near_duplicates(
     parts = components(links)
     opened2 = keep(still_open(opened.select("bucket", "key", "rank"), parts).select("bucket", "key", "rank", "n"))
     drop(opened)
-    anew = keep(sets.join(opened2.where(F.col("n") > crowded).select("key").distinct(), "key", "left_semi").mapInArrow(sign_anew, "key long, buckets array<long>"))
-    fine = meeting(anew)
-    thin = opened2.where(F.col("n") <= crowded).select("key", "bucket", "rank")
-    ranked = keep(thin.unionByName(ranks(fine)))
+    if crowded is None:
+        ranked, spent = opened2.select("key", "bucket", "rank"), [opened2]
+    else:
+        anew = keep(sets.join(opened2.where(F.col("n") > crowded).select("key").distinct(), "key", "left_semi").mapInArrow(sign_anew, "key long, buckets array<long>"))
+        fine = meeting(anew)
+        ranked, spent = keep(opened2.where(F.col("n") <= crowded).select("key", "bucket", "rank").unionByName(ranks(fine))), [opened2, anew, fine]
     of = keep(still_open(ranked, parts).select("bucket", "key", "rank", "component"))
-    drop(opened2, anew, fine)
+    drop(*spent)
     wide = 1
     while not of.isEmpty():
         counts = of.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc"))
         open_, total = counts.agg(F.sum(F.expr("m * m - cc") / 2), F.sum("m")).first()
-        last = open_ <= open_pairs * max(total, 100_000)
-        if last:
-            other = of.select("bucket", F.col("key").alias("k1"), F.col("component").alias("c1"))
-            pairs = other.join(of, "bucket").where((F.col("k1") < F.col("key")) & (F.col("c1") != F.col("component"))).select(F.col("k1").alias("a"), F.col("key").alias("b")).distinct()
-        else:
-            first = of.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))).where(F.col("r") <= wide).select("bucket", F.col("key").alias("centre"))
-            pairs = pairs_of(of.join(first, "bucket").where("key != centre"))
-        pairs = keep(pairs.join(sims, ["a", "b"], "left_anti"))
+        if open_ <= open_pairs * max(total, 100_000):
+            found = keep(linked_buckets(of.select("bucket", "key", "component"), sets, weights, threshold, block))
+            parts = components(keep(links.unionByName(found)))
+            break
+        first = of.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))).where(F.col("r") <= wide).select("bucket", F.col("key").alias("centre"))
+        pairs = keep(pairs_of(of.join(first, "bucket").where("key != centre")).join(sims, ["a", "b"], "left_anti"))
         more = verified(pairs)
         both, joined = keep(sims.unionByName(more)), keep(links.unionByName(links_of(more)))
         drop(pairs, more, sims, links, parts)
         sims, links, parts = both, joined, components(joined)
-        if last:
-            break
         # an entry that has been compared with a whole bucket needs no more there
         rest = keep(still_open(of.join(first.withColumnRenamed("centre", "key"), ["bucket", "key"], "left_anti").select("bucket", "key", "rank"), parts).select("bucket", "key", "rank", "component"))
         drop(of)
