@@ -1,10 +1,17 @@
-"""Vector functions over arrays, inside the JVM."""
+"""Vector functions over arrays, inside the JVM but for vectors of hashed words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.session import with_package
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
@@ -38,8 +45,19 @@ def relevance(distance: Column) -> Column:
 
 def hashed_words(df: DataFrame, id_col: str, words: Column, dims: int = 256, vector: str = "embedding") -> DataFrame:
     """``id_col`` and a vector of ``dims`` numbers for each row: each distinct word adds 1 or -1 in the dimension that its hash names. Rows without words have null; ids are unique."""
-    h = F.xxhash64("w")
-    x = df.select(id_col, F.explode(F.array_distinct(words)).alias("w")).groupBy(id_col, F.pmod(h, F.lit(dims)).cast("int").alias("k")).agg(F.sum(F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
-    x = x.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
-    x = x.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(vector))
-    return df.select(id_col).join(x, id_col, "left")
+    with_package(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                h = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(len(n)), n) * dims + h % dims
+                x = np.bincount(place, np.where(h >> 40 & 1, -1.0, 1.0), len(n) * dims)
+                offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * dims)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x), mask=pa.array(n == 0))], ["id", "v"])
+
+    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    return df.select(id_col, hashes).mapInArrow(run, f"id {kind}, v array<double>").toDF(id_col, vector)

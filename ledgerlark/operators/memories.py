@@ -2,78 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.session import cut, in_order
+from ledgerlark.functions.vectors import norm
+from ledgerlark.session import cut, in_order, with_package
+
+
+def _packed(df: DataFrame, vector: str) -> DataFrame:
+    """``vector`` (an array of doubles) as the bytes of its numbers; null numbers become NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(vector)
+            v = batch.column(at)
+            numbers = np.asarray(v.flatten().to_numpy(zero_copy_only=False), float)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(v).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends * 8), pa.py_buffer(numbers)])
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == vector else f.dataType.simpleString()}" for f in df.schema))
 
 
 def _unit(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in vectors])
+    x = np.frombuffer(b"".join(vectors)).reshape(len(vectors), -1)
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _first_alike(rows: np.ndarray, kept: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the first kept vector that is alike, or -1, and the similarity."""
-    sims = rows @ kept.T
-    alike = sims >= threshold
-    first = np.where(alike.any(1), alike.argmax(1), -1)
-    return first, sims[np.arange(len(rows)), first]
+def _first_alike(rows: np.ndarray, kept: np.ndarray, threshold: float, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first kept vector that is alike, or -1, and the similarity; no more than ``size`` squared similarities are held at once."""
+    first, sim = np.full(len(rows), -1), np.full(len(rows), np.nan)
+    for lo in range(0, len(kept), size):
+        open_rows = np.flatnonzero(first < 0)
+        for at in (open_rows[i : i + size] for i in range(0, len(open_rows), size)):
+            s = rows[at] @ kept[lo : lo + size].T
+            alike = s >= threshold
+            k, some = alike.argmax(1), alike.any(1)
+            first[at[some]], sim[at[some]] = lo + k[some], s[some, k[some]]
+    return first, sim
 
 
-def greedy_cover(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def greedy_cover(vectors: np.ndarray, threshold: float, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """In the order given, each row joins the first kept row that is alike, or is kept: its position, and the similarity (1 for itself)."""
-    of, sim = np.full(len(vectors), -1), np.ones(len(vectors))
-    for i in range(len(vectors)):
-        if of[i] < 0:
-            of[i] = i
-            s = vectors[i + 1 :] @ vectors[i]
-            joins = np.flatnonzero((s >= threshold) & (of[i + 1 :] < 0))
-            of[i + 1 + joins], sim[i + 1 + joins] = i, s[joins]
+    of, sim, kept = np.full(len(vectors), -1), np.ones(len(vectors)), np.zeros(0, int)
+    for lo in range(0, len(vectors), size):
+        x = vectors[lo : lo + size]
+        first, s = _first_alike(x, vectors[kept], threshold)
+        joins = first >= 0
+        of[lo : lo + size][joins], sim[lo : lo + size][joins] = kept[first[joins]], s[joins]
+        rest = np.flatnonzero(~joins)
+        among = x[rest] @ x[rest].T
+        for i, r in enumerate(rest):
+            if of[lo + r] < 0:
+                of[lo + r] = lo + r
+                later = rest[i + 1 :]
+                near = (among[i, i + 1 :] >= threshold) & (of[lo + later] < 0)
+                of[lo + later[near]], sim[lo + later[near]] = lo + r, among[i, i + 1 :][near]
+        kept = np.concatenate([kept, lo + rest[of[lo + rest] == lo + rest]])
     return of, sim
 
 
-def covers(df: DataFrame, user: str = "user_id", id_col: str = "id", vector: str = "embedding", importance: str = "importance_score", threshold: float = 0.85, block: int = 2048) -> DataFrame:
+def covers(df: DataFrame, user: str = "user_id", id_col: str = "id", vector: str = "embedding", importance: str = "importance_score", threshold: float = 0.85, block: int = 16384) -> DataFrame:
     """For each row with a vector: ``user``, ``id_col``, ``kept_id``, ``similarity``, ``place`` (rising in the user's order).
 
     A user's rows are taken by falling importance, ties by id. Each joins the first kept row whose cosine is at least ``threshold``, else it
     is kept itself; only kept rows gather others, so this is not a matter of connected components.
 
-    Rows are sorted throughout and dealt into blocks of at most ``block`` (a power of two). A round takes each user's next block: it is
+    Rows of a user with the same vector share the fate of the first of them: what that joins is the first alike for all, and if it is kept, they join it. So only first ones are
+    compared. They are sorted throughout and dealt into blocks of at most ``block`` (a power of two). A round takes each user's next block: it is
     covered greedily by itself, and what it keeps is held against the user's later blocks, each in a task of its own; rows that join leave. So a user
-    with a block or less needs one round, and a user with any number of rows never meets in one task. Zero vectors are like nothing. Vectors
-    of a user have one length. Null users are one user.
+    with a block or less needs one round, and a user with any number of rows never meets in one task. The similarities that are computed grow with kept rows times rows of a user.
+    Zero vectors are like nothing. Vectors of a user have one length. Null users are one user.
     """
+    with_package(df.sparkSession)
     rows = df.where(F.col(vector).isNotNull()).select(F.col(user).alias("u"), F.col(id_col).alias("id"), F.col(importance).alias("w"), F.col(vector).cast("array<double>").alias("v"))
-    rows = in_order(rows, "u", F.desc_nulls_last("w"), "id").drop("w").withColumn("block", F.shiftright("seq", block.bit_length() - 1))
-    blocks = rows.select("u", "block").distinct().withColumn("round", F.dense_rank().over(Window.partitionBy("u").orderBy("block")))
-    open_rows = rows.join(blocks.withColumnRenamed("u", "u2"), ["block"]).where(F.col("u").eqNullSafe(F.col("u2"))).drop("u2")
+    n = norm(F.col("v"))
+    rows = _packed(rows.withColumn("like", (n > 0) & (n < float("inf"))), "v").withColumn("h", F.when(F.col("like"), F.sha2("v", 256))).drop("like")
+    rows = in_order(cut(rows), "u", F.desc_nulls_last("w"), "id").drop("w").withColumnRenamed("seq", "place")  # a sort reads its rows twice
+    rows = rows.withColumn("h", F.coalesce("h", F.col("place").cast("string")))  # a vector that is like nothing stands alone
+    same = cut(rows.groupBy("u", "h").agg(F.min("place").alias("first")))
+    firsts = rows.join(same.select(F.col("first").alias("place")), "place")
+    firsts = in_order(firsts, "place").withColumn("block", F.shiftright("seq", block.bit_length() - 1))
+    blocks = firsts.select("u", "block").distinct().withColumn("round", F.dense_rank().over(Window.partitionBy("u").orderBy("block")))
+    open_rows = firsts.drop("seq").join(blocks.withColumnRenamed("u", "u2"), ["block"]).where(F.col("u").eqNullSafe(F.col("u2"))).drop("u2")
     rounds = blocks.agg(F.max("round")).first()[0] or 0
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found_kind = f"u {kind['u']}, id {kind['id']}, seq long, kept_id {kind['id']}, similarity double"
+    found_kind = f"u {kind['u']}, id {kind['id']}, place long, kept_id {kind['id']}, similarity double"
 
     def cover(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq").reset_index(drop=True)
+        f = f.sort_values("place").reset_index(drop=True)
         of, sim = greedy_cover(_unit(f["v"]), threshold)
         out = f.assign(kept_id=f["id"].to_numpy()[of], similarity=sim, v=[v if o == i else None for i, (v, o) in enumerate(zip(f["v"], of))])
-        return out[["u", "id", "seq", "kept_id", "similarity", "v"]]
+        return out[["u", "id", "place", "kept_id", "similarity", "v"]]
 
     def join(rest: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if len(rest) and len(kept):
-            kept = kept.sort_values("seq")
+            kept = kept.sort_values("place")
             first, sim = _first_alike(_unit(rest["v"]), _unit(kept["v"]), threshold)
             joins = first >= 0
-            rest = rest.assign(kept_id=pd.Series(kept["id"].to_numpy()[first], index=rest.index).where(joins), similarity=np.where(joins, sim, np.nan), joins=joins)
+            rest = rest.assign(kept_id=pd.Series(kept["id"].to_numpy()[first], index=rest.index).where(joins), similarity=sim, joins=joins)
         else:
             rest = rest.assign(kept_id=None, similarity=np.nan, joins=False)
-        return rest[["u", "id", "seq", "block", "round", "v", "kept_id", "similarity", "joins"]]
+        return rest[["u", "id", "place", "block", "round", "v", "kept_id", "similarity", "joins"]]
 
     found = []
     for k in range(1, rounds + 1):
-        head = open_rows.where(F.col("round") == k).groupBy("u").applyInPandas(cover, f"{found_kind}, v array<double>")
+        head = open_rows.where(F.col("round") == k).groupBy("u").applyInPandas(cover, f"{found_kind}, v binary")
         if k == rounds:
             found.append(head.drop("v"))
             break
@@ -81,14 +122,18 @@ def covers(df: DataFrame, user: str = "user_id", id_col: str = "id", vector: str
         found.append(head.drop("v"))
         rest = open_rows.where(F.col("round") > k)
         to = rest.select("u", "block").distinct()
-        kept = head.where("v is not null").join(to.withColumnRenamed("u", "u2"), F.col("u").eqNullSafe(F.col("u2"))).select("u", "block", "id", "seq", "v").toDF("u", "block", "id", "seq", "v")
-        met = cut(rest.groupBy("u", "block").cogroup(kept.groupBy("u", "block")).applyInPandas(join, f"u {kind['u']}, id {kind['id']}, seq long, block long, round int, v array<double>, kept_id {kind['id']}, similarity double, joins boolean"))
-        found.append(met.where("joins").select("u", "id", "seq", "kept_id", "similarity"))
-        open_rows = met.where("not joins").select("u", "id", "seq", "block", "round", "v")
+        kept = head.where("v is not null").join(to.withColumnRenamed("u", "u2"), F.col("u").eqNullSafe(F.col("u2"))).select("u", "block", "id", "place", "v").toDF("u", "block", "id", "place", "v")
+        met = cut(rest.groupBy("u", "block").cogroup(kept.groupBy("u", "block")).applyInPandas(join, f"u {kind['u']}, id {kind['id']}, place long, block long, round int, v binary, kept_id {kind['id']}, similarity double, joins boolean"))
+        found.append(met.where("joins").select("u", "id", "place", "kept_id", "similarity"))
+        open_rows = met.where("not joins").select("u", "id", "place", "block", "round", "v")
     out = rows.sparkSession.createDataFrame([], found_kind) if not found else found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out.select(F.col("u").alias(user), F.col("id").alias(id_col), "kept_id", "similarity", F.col("seq").alias("place"))
+    out = cut(out.select("place", "kept_id", "similarity"))
+    of = same.toDF("u2", "h2", "first")
+    fate = rows.select("u", "id", "place", "h").join(of, (F.col("h") == F.col("h2")) & F.col("u").eqNullSafe(F.col("u2")))
+    fate = fate.select("u", "id", F.col("place").alias("own"), F.col("first").alias("place")).join(out, "place")
+    return fate.select(F.col("u").alias(user), F.col("id").alias(id_col), "kept_id", "similarity", F.col("own").alias("place"))
 
 
 def consolidated(df: DataFrame, cover: DataFrame, user: str = "user_id", id_col: str = "id", tags: str = "tags", metadata: str = "metadata", count: str = "access_count") -> DataFrame:

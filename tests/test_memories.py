@@ -68,6 +68,27 @@ def test_consolidated(spark):
     assert got == {"a": (7, ["x", "z"], {"own": "a", "k": "c"}, 2), "d": (8, [], None, 0), "n": (9, ["q"], {}, 0)}
 
 
+def test_copies_share_the_fate_of_the_first(spark):
+    # 600 copies of 30 vectors and as many zero vectors: in blocks of 16 it is the first ones that are dealt, and zero vectors stay alone
+    rng = np.random.default_rng(7)
+    kinds = rng.normal(size=(30, 4)).tolist()
+    rows = [(1 if i % 3 else None, i, kinds[i % 30] if i % 7 else [0.0] * 4, float(i * 37 % 11)) for i in range(630)]
+    df = spark.createDataFrame(rows, "user_id int, id int, embedding array<double>, importance_score double")
+    got = {r.id: (r.kept_id, round(r.similarity, 6)) for r in memories.covers(df, block=16).collect()}
+    want = {}
+    for _, f in df.toPandas().groupby("user_id", dropna=False):
+        want |= loop(f)
+    assert {i: k for i, (k, _) in got.items()} == want
+    assert {got[i][1] for i in got if rows[i][2] == rows[got[i][0]][2]} == {1.0}
+
+
+def test_greedy_cover_across_its_blocks():
+    x = np.random.default_rng(3).normal(size=(500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = memories.greedy_cover(x, 0.8, 16), memories.greedy_cover(x, 0.8, 1000)
+    assert (a[0] == b[0]).all() and np.allclose(a[1], b[1]) and len(set(a[0])) < 500
+
+
 def test_cover_density_equals_every_stretch(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 25))) for _ in range(60)] + [None, "", "A b!C"]
