@@ -15,14 +15,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda w: w != "")
 
 
-def positions(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = ()) -> DataFrame:
+def positions(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
     """The inverted index: ``term``, ``id_col``, ``positions`` (rising, from 1). Stop words have no entry, but they count as positions.
 
-    Every position of a whole text is held. An index that is written, partitioned or bucketed by term, serves any number of searches.
+    With ``only`` (``term``), other terms have no entry either: an index for one set of queries, which no other words are shuffled for. Every position of a whole text is held. An index that is written, partitioned or bucketed by term, serves any number of searches.
     """
     x = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("p", "term"))
     if stop_words:
         x = x.where(~F.col("term").isin(list(stop_words)))
+    if only is not None:
+        x = x.join(only.select("term").distinct(), "term", "left_semi")
     return x.groupBy("term", id_col).agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
 
 

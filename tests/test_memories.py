@@ -158,3 +158,9 @@ def test_diagnostics_equal_a_dense_computation(spark, block):
         s = pd.Series(z)
         assert (r.mean, r.std, r.skewness, r.kurtosis) == pytest.approx((s.mean(), s.std(), s.skew(), s.kurt()))
     assert got["c"].lb_stat is None and got["d"].lags == 0 and got["d"].lm_stat is None
+
+
+def test_index_of_asked_terms_only(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "c d"), (3, None)], "id int, t string")
+    only = spark.createDataFrame([("a",), ("c",), ("a",)], "term string")
+    assert sorted((r.term, r.id, r.positions) for r in fulltext.positions(docs, "id", "t", (), only).collect()) == [("a", 1, [1, 4]), ("c", 1, [3]), ("c", 2, [1])]
