@@ -22,6 +22,8 @@ def _gear() -> np.ndarray:
 
 _TABLE = _gear()
 _WINDOW = 32
+#: Bytes that are hashed, and rows' bytes that are taken from an Arrow batch, at a time.
+_BLOCK = 1 << 20
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -29,18 +31,27 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int = 11, least: int = 256, most: int = 16384) -> list[list[int]]:
+def _places(data: np.ndarray, bits: int, block: int) -> np.ndarray:
+    """Where a rolling hash of the last 32 bytes has ``bits`` leading zeros; ``block`` bytes at a time, each with the window before it."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(data), block):
+        start = max(0, at - _WINDOW + 1)
+        h = _TABLE[data[start : at + block]]
+        step = 1
+        while step < _WINDOW:
+            more = h.copy()
+            more[step:] += h[:-step] << np.uint32(step)
+            h, step = more, step * 2
+        found.append(np.flatnonzero((h[at - start :] >> np.uint32(32 - bits)) == 0) + at + 1)
+    return np.concatenate(found)
+
+
+def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int = 11, least: int = 256, most: int = 16384, block: int = _BLOCK) -> list[list[int]]:
     """Ends of the chunks of each row. A chunk ends where a rolling hash of the last 32 bytes has ``bits`` leading zeros.
 
     A row's cuts depend on its own bytes only: the first ``least`` bytes of a chunk are never cut.
     """
-    h = _TABLE[data]
-    step = 1
-    while step < _WINDOW:
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint32(step)
-        h, step = more, step * 2
-    places = np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
+    places = _places(data, bits, block)
     first = np.searchsorted(places, offsets)
     out = []
     for i in range(len(offsets) - 1):
@@ -57,13 +68,17 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int = 11, least: int
 
 
 def _chunked(batch: pa.RecordBatch, column: int):
-    """For each row: its normalised bytes and the chunks' bounds."""
-    data, offsets = utf8_parts(batch.column(column))
-    data = lower_ascii(data)
-    raw = data.tobytes()
-    for i, ends in enumerate(chunk_ends(data, offsets)):
-        start = int(offsets[i])
-        yield raw[start : int(offsets[i + 1])], [raw[a:b] for a, b in zip([start, *ends], ends)]
+    """For each row: its normalised bytes and its chunks. Rows are taken about ``_BLOCK`` bytes at a time, so that a batch's hashes never lie side by side."""
+    whole, bounds = utf8_parts(batch.column(column))
+    row = 0
+    while row < len(batch):
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _BLOCK, "right")) - 1)
+        data, offsets = lower_ascii(whole[bounds[row] : bounds[to]]), bounds[row : to + 1] - bounds[row]
+        raw = data.tobytes()
+        for i, ends in enumerate(chunk_ends(data, offsets)):
+            start = int(offsets[i])
+            yield raw[start : int(offsets[i + 1])], [raw[a:b] for a, b in zip([start, *ends], ends)]
+        row = to
 
 
 def recipes(df: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
