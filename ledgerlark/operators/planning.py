@@ -151,11 +151,17 @@ def within_budget(trades: DataFrame, key: str, budget: Column, order: Sequence[C
 
 
 def constraint_violations(weights: DataFrame, key: str, stock: float = 0.10, ten: float = 0.55, sector: float = 0.25) -> DataFrame:
-    """Rows (rule, what, share) for each broken limit: a stock, the ten largest, a sector, fewer than ten holdings over 0.5 %."""
-    x = weights.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy(key)), 9)).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("share"), "symbol")))
-    rows = lambda df, rule, what: df.select(key, F.lit(rule).alias("rule"), what.alias("what"), "share")
-    one = rows(x.where(F.col("share") > stock), "stock", F.col("symbol"))
-    top = rows(x.where("place <= 10").groupBy(key).agg(F.sum("share").alias("share")).where(F.col("share") > ten), "top ten", F.lit("all"))
-    sectors = rows(x.groupBy(key, "sector").agg(F.sum("share").alias("share")).where(F.col("share") > sector), "sector", F.col("sector"))
-    few = x.groupBy(key).agg(F.count_if(F.col("share") > 0.005).cast("double").alias("share")).where("share < 10")
-    return one.unionByName(top).unionByName(sectors).unionByName(rows(few, "holdings", F.lit("all")))
+    """Rows (rule, what, share) for each broken limit: a stock, the ten largest, a sector, fewer than ten holdings over 0.5 %. One pass over the rows of a key."""
+    whole, part = Window.partitionBy(key), Window.partitionBy(key, "sector")
+    x = weights.withColumn("share", F.round(F.try_divide("weight", F.sum("weight").over(whole)), 9)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("share"), "symbol")))
+    x = x.withColumns({"top": F.sum(F.when(F.col("place") <= 10, F.col("share"))).over(whole), "many": F.count_if(F.col("share") > 0.005).over(whole)})
+    x = x.withColumns({"nth": F.row_number().over(part.orderBy("place")), "together": F.sum("share").over(part)})
+    broken = lambda when, rule, what, share: F.when(when, F.struct(F.lit(rule).alias("rule"), what.alias("what"), share.alias("share")))
+    first, every = F.col("place") == 1, F.lit("all")
+    rows = F.array(
+        broken(F.col("share") > stock, "stock", F.col("symbol"), F.col("share")),
+        broken(first & (F.col("top") > ten), "top ten", every, F.col("top")),
+        broken((F.col("nth") == 1) & (F.col("together") > sector), "sector", F.col("sector"), F.col("together")),
+        broken(first & (F.col("many") < 10), "holdings", every, F.col("many").cast("double")),
+    )
+    return x.select(key, F.explode(F.array_compact(rows)).alias("x")).select(key, "x.*")

@@ -228,5 +228,5 @@ select user_id, 'top ten', 'all', round(sum(share), 4) from p where place <= 10
 select user_id, 'sector', sector, round(sum(share), 4) from p group by 1, 3 having sum(share) > 0.25 union all
 select user_id, 'holdings', 'all', count(*) filter (share > 0.005)::double from p group by 1 having count(*) filter (share > 0.005) < 10""")
 def f35_constraint_violations(spark, d):
-    x = X.holdings(spark, d).join(X.sectors(spark, d), "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN"))).withColumnRenamed("current_value", "weight")
+    x = X.holdings(spark, d).join(F.broadcast(X.sectors(spark, d)), "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN"))).withColumnRenamed("current_value", "weight")
     return T.constraint_violations(x, "user_id").withColumn("share", F.round("share", 4))
