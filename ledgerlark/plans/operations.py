@@ -124,7 +124,7 @@ def j08_pairs(spark, d):
 @query(f"with {X.HOLDINGS}, {X.PRICES}, p as (select symbol, arg_max(px, d) as px from prices group by 1) select user_id, symbol, round((px - avg_cost) * quantity, 4) as pnl from holdings join p using (symbol)")
 def j09_holdings_with_prices(spark, d):
     p = X.prices(spark, d).groupBy("symbol").agg(F.max_by("px", "d").alias("px"))
-    return X.holdings(spark, d).join(p, "symbol").select("user_id", "symbol", F.round((F.col("px") - F.col("avg_cost")) * F.col("quantity"), 4).alias("pnl"))
+    return X.holdings_in_order(spark, d).join(p, "symbol").select("user_id", "symbol", F.round((F.col("px") - F.col("avg_cost")) * F.col("quantity"), 4).alias("pnl"))
 
 
 @query("select 'page' as kind, page_id as id, length(html) as n from pages union all select 'document', doc_id, length(text) from documents union all select 'item', item_id, length(text) from benchmark")

@@ -116,7 +116,7 @@ _LOTS = f"""lots as (select h.user_id, symbol, current_value - quantity * avg_co
 
 
 def lots(spark, d):
-    x = X.holdings(spark, d).join(people(spark, d), "user_id")
+    x = X.holdings_in_order(spark, d).join(people(spark, d), "user_id")
     return x.select("user_id", "symbol", (F.col("current_value") - F.col("quantity") * F.col("avg_cost")).alias("gain"), F.datediff(F.lit(AS_OF), "buy_date").alias("days"), F.when(F.col("symbol") < "Brand#5", "equity").otherwise("debt").alias("asset"), "income")
 
 
